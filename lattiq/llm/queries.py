@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .simhash import hex_of, near_duplicates
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,5 +32,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of("fp").alias("fingerprint"), "n_near", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
