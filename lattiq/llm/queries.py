@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .language import detect, fold, train
 from .simhash import hex_of, near_duplicates
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,5 +40,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "n_near", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash)}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(fold() != 2))
+    return detect(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash, op6_language)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
