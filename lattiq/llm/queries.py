@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .language import detect, fold, train
+from .shards import shard
 from .simhash import hex_of, near_duplicates
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,5 +47,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash, op6_language)}
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash, op6_language, op9_shards)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
