@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, data: list[bytes]) -> None:
+def put_file(uri: str, data: Iterable[bytes]) -> None:
     """Writes a file under a passing name and renames it, so that a lost or repeated task leaves no half file."""
     files, path = filesystem(uri)
     files.create_dir(os.path.dirname(path), recursive=True)

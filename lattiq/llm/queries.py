@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
 from .language import detect, fold, train
+from .records import token_records
 from .shards import shard
 from .simhash import hex_of, near_duplicates
 
@@ -36,6 +39,20 @@ FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file: in $TOKENIZER_DIR, else where the installed package has it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "n_near", "component_id")
@@ -52,5 +69,5 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_simhash, op6_language, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op5_simhash, op6_language, op9_shards)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
