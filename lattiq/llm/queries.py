@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .html import main_texts
 from .language import detect, fold, train
 from .records import token_records
 from .shards import shard
@@ -69,5 +70,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op5_simhash, op6_language, op9_shards)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op5_simhash, op6_language, op9_shards, op10_html)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
