@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .html import main_texts
 from .language import detect, fold, train
+from .licenses import scan
 from .records import token_records
 from .shards import shard
 from .simhash import hex_of, near_duplicates
@@ -54,6 +55,12 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    joined = [F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "n_near", "component_id")
@@ -74,5 +81,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op5_simhash, op6_language, op9_shards, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op4_licenses, op5_simhash, op6_language, op9_shards, op10_html)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
