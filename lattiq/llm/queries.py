@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .html import main_texts
 from .language import detect, fold, train
 from .licenses import scan
+from .media import media
 from .records import token_records
 from .shards import shard
 from .simhash import hex_of, near_duplicates
@@ -55,6 +56,10 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     joined = [F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels")]
@@ -81,5 +86,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op4_licenses, op5_simhash, op6_language, op9_shards, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op3_media, op4_licenses, op5_simhash, op6_language, op9_shards, op10_html)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
