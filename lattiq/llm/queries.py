@@ -15,6 +15,7 @@ from .licenses import scan
 from .media import media
 from .records import token_records
 from .shards import shard
+from .surrogates import pseudonymize
 from .simhash import hex_of, near_duplicates
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,6 +78,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def surrogate_key() -> bytes:
+    """The secret of a deployment; the fallback makes results repeatable in tests only."""
+    return os.environ.get("SURROGATE_KEY", "not a secret").encode()
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key())
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct(F.col("spans.kind")))).alias("kinds"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -86,5 +97,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op3_media, op4_licenses, op5_simhash, op6_language, op9_shards, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op3_media, op4_licenses, op5_simhash, op6_language, op7_surrogates, op9_shards, op10_html)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
