@@ -16,6 +16,7 @@ being one shard, so a document's place among all tokens is its shard's start plu
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ from .common import by_bytes, filesystem, put_file, shared_dir, size_of, text_by
 SHARD_BYTES = 32 << 20
 #: Shards at most; larger inputs get larger shards.
 MOST_SHARDS = 1 << 14
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Units whose ids a Python worker keeps.
+CACHE_WORDS = 1_200_000
 _MASK = 0xA282EAD8
 _LENGTH = struct.Struct("<Q")
 _HEAD = struct.Struct("<QBB")
@@ -74,8 +75,35 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id - (1 << 64) * (doc_id >> 63) if known else None), ids
 
 
+def _classes() -> np.ndarray:
+    """1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe, 0: the rest."""
+    out = np.zeros(256, np.uint8)
+    for c in range(33, 127):
+        out[c] = 1 if chr(c).isalnum() else 2
+    out[ord("'")] = 0
+    return out
+
+
+_CLASS = _classes()
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def units(text: bytes) -> list[bytes]:
+    """Parts of a text that the word tokenizer treats apart: cut at white space and between ASCII letters or
+    digits and punctuation, ASCII lower-cased (the tokenizer's own first step would do so)."""
+    b = np.frombuffer(text.lower(), np.uint8)
+    c = _CLASS[b]
+    cut = np.flatnonzero(c[:-1] + c[1:] == 3)  # 1 beside 2: neither 0 beside 3 nor 3 beside 0 can be
+    if len(cut):
+        b = np.insert(b, cut + 1, 32)
+    return b.tobytes().split()
+
+
 class Encoder:
-    """Encodes texts with a tokenizers file that splits at white space and drops it, word by word with a cache."""
+    """Encodes texts with a tokenizers file that lower-cases, splits at white space and drops it.
+
+    A unit's ids are looked up in a cache that lasts as long as the Python worker.
+    """
 
     held: dict[str, Encoder] = {}
 
@@ -84,13 +112,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -99,20 +129,32 @@ class Encoder:
         return cls.held[path]
 
     def _learn(self, new: list[bytes]) -> None:
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.place[w] = len(self.pool)
-                self.pool.append(np.array(e.ids, np.uint32))
-        old = len(self.start)
-        size = np.array([len(x) for x in self.pool[old:]], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *self.pool[old:]])
+        """Adds units; runs of letters are encoded many at a time, told apart by the tokens that close a word."""
+        plain, other = [], []
+        for u in new:
+            (plain if _LETTERS.fullmatch(u) else other).append(u)
+        flat, sizes = [], []
+        for s in range(0, len(plain), 100_000):
+            parts = [plain[i : i + 200] for i in range(s, min(s + 100_000, len(plain)), 200)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(part):
+                    raise ValueError("the tokenizer doesn't close each word; it can't be encoded by units")
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+        for s in range(0, len(other), 20_000):
+            for e in self.tokenizer.encode_batch_fast([u.decode() for u in other[s : s + 20_000]], add_special_tokens=False):
+                flat.append(np.array(e.ids, np.uint32))
+                sizes.append(np.array([len(e.ids)]))
+        known = len(self.place)
+        self.place.update(zip(plain + other, range(known, known + len(new))))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate([self.flat, *flat])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        words = [t.split() for t in texts]
+        words = [units(t) for t in texts]
         if len(self.place) > CACHE_WORDS:
             self.clear()
         new = list(set().union(*words).difference(self.place)) if words else []
@@ -121,9 +163,10 @@ class Encoder:
         get = self.place.__getitem__
         for own in words:
             k = np.fromiter(map(get, own), np.int64, len(own))
-            n = self.size[k]
+            at = self.start[k]
+            n = self.start[k + 1] - at
             ends = np.cumsum(n)
-            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - (ends - n), n)]
+            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - n), n)]
 
 
 def _write(path: str, folder: str, end: int):
