@@ -13,6 +13,7 @@ from .html import main_texts
 from .language import detect, fold, train
 from .licenses import scan
 from .media import media
+from .pieces import encode
 from .records import token_records
 from .shards import shard
 from .surrogates import pseudonymize
@@ -88,6 +89,12 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct(F.col("spans.kind")))).alias("kinds"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), best=4)
+    scores = F.concat_ws(",", F.transform("scores", lambda s: s.cast("long").cast("string")))
+    return found.select("doc_id", "n_pieces", "ids_crc32", scores.alias("nbest_scores"), F.size("ids").alias("n_best"), "round_trip")
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -97,5 +104,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op3_media, op4_licenses, op5_simhash, op6_language, op7_surrogates, op9_shards, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_records, op3_media, op4_licenses, op5_simhash, op6_language, op7_surrogates, op8_pieces, op9_shards, op10_html)}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
