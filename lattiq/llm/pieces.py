@@ -5,9 +5,9 @@ every position; backward A-star search over the lattice takes it as its heuristi
 paths come out in the order of their scores.  Characters that no piece covers are spelled with byte pieces,
 each of which costs the least piece score less a penalty.
 
-No piece of the vocabulary has white space after another character (checked when the model is loaded), so
-every path passes the places where white space follows a character, and the text falls into units there.
-Units are searched once and cached; the N best paths of the text are the N least sums of the units' gaps,
+No piece of the vocabulary has white space after another character (checked when the model is loaded), and
+none has most punctuation after a letter, so every path passes those places, and the text falls into units
+there.  Units are searched once and cached; the N best paths of the text are the N least sums of the units' gaps,
 enumerated by a heap over the N-1 units of least gaps: a path of the N best changes no other unit.
 
 Scores are those of the model file, as whole numbers for a BPE model (minus the rank), so sums are exact.
@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_UNITS = 400_000
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CACHE_UNITS = 500_000
 _SCORE, _GAP, _IDS = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -56,6 +55,7 @@ class Pieces:
         self.score = {p: (max(s, self.byte_score + PENALTY), i) for p, (s, i) in self.score.items()}
         self.score = {p: (s, (i,)) for p, (s, i) in self.score.items()}
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.cut = self._cutter()
         self.trie = {p: self.score.get(p, (0.0, ())) for p in self.prefixes | self.score.keys()}
         self.cache: dict[str, tuple[float, float, tuple[int, ...]]] = {}
 
@@ -65,6 +65,25 @@ class Pieces:
             cls.held[path, best] = cls(path, best)
         return cls.held[path, best]
 
+    def _cutter(self) -> re.Pattern:
+        """What a unit is.  Cuts lie where no piece reaches over: before white space after another character,
+        before a mark (ASCII punctuation) after a letter or digit that no piece has before any mark, and
+        around control characters that no longer piece holds."""
+        long = [p for p in self.score if len(p) > 1]
+        inside = set("".join(long))
+        alone = {c for c in map(chr, range(32)) if c not in inside}
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        before = {a for p in long for a, b in zip(p, p[1:]) if b in marks}
+        letters = {c for c in map(chr, range(48, 0x530)) if c.isalnum()} - before
+        one, mark, letter = ("".join(map(re.escape, sorted(x))) for x in (alone, marks, letters))
+        other = f"[^{SPACE}{one}{mark}{letter}]"
+        front = f"[^{SPACE}{one}{letter}]"
+        return re.compile(f"{SPACE}*{front}*[{letter}]+(?:{other}{front}*[{letter}]*)*|{SPACE}*{front}+|{SPACE}+" + (f"|[{one}]" if one else ""))
+
+    def units(self, text: str) -> list[str]:
+        """The text with a space in front and white space marked, cut at places that every path passes."""
+        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def arcs(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position, the (start, score, ids) of the arcs that end there."""
         known, prefixes, n = self.score, self.prefixes, len(unit)
@@ -160,7 +179,7 @@ class Pieces:
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty."""
-        parts = units(text)
+        parts = self.units(text)
         cache = self.cache
         new = set(parts).difference(cache)
         if new:
@@ -206,11 +225,6 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def units(text: str) -> list[str]:
-    """The text with a space in front and white space marked, cut before each run of marks."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 def _encode(path: str, best: int):
     def run(batches):
         model = Pieces.of(path, best)
