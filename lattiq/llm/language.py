@@ -289,6 +289,24 @@ def detect(documents: DataFrame, model: Model, switch: float = SWITCH) -> DataFr
     return documents.select("doc_id", "text").mapInArrow(_detect(model, switch), schema)
 
 
+def _accepted(model: Model, least: float, switch: float):
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in text_bytes(b.column("text"))]
+            good = [lang != "und" and score >= least for s, e in by_bytes(texts) for lang, score, _ in label_texts(texts[s:e], model, switch)]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def accept(documents: DataFrame, model: Model, least: float, switch: float = SWITCH) -> DataFrame:
+    """The rows of documents that have a language holding at least ``least`` of their letters, with all their columns.
+
+    Rows with a null text, or one without letters, go; without a model all go; repeated rows share a fate.
+    """
+    return documents.mapInArrow(_accepted(model, least, switch), documents.schema)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; 2 is held out from training."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))

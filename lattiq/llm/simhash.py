@@ -190,6 +190,17 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return spread.groupBy("task").applyInArrow(_task, "fp long, near long, root long")
 
 
+def _linked(docs: DataFrame, chunk: int) -> DataFrame:
+    """(fp, n_near, component_id, root) for each distinct fingerprint of docs(doc_id, fp); root names the component."""
+    prints = written(docs.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")), "prints")
+    found = durable(links(prints.select("fp", "rows"), chunk).groupBy("fp", "root").agg(F.sum("near").alias("near")))
+    root = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
+    near = found.groupBy("fp").agg(F.sum("near").alias("near"))
+    known = prints.join(near, "fp", "left").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(least, "root").select("fp", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id", "root")
+
+
 def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fp, n_near, component_id for each row of documents.
 
@@ -199,14 +210,30 @@ def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     name unless no other is there (then null).  Other columns are ignored; no rows give no rows.
     """
     docs = written(documents.select("doc_id", "text").mapInArrow(_fingerprints, T.StructType([documents.schema["doc_id"], T.StructField("fp", T.LongType())])), "fingerprints")
-    prints = written(docs.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")), "prints")
-    found = durable(links(prints.select("fp", "rows"), chunk).groupBy("fp", "root").agg(F.sum("near").alias("near")))
-    root = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")))
-    near = found.groupBy("fp").agg(F.sum("near").alias("near"))
-    known = prints.join(near, "fp", "left").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select("fp", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return docs.join(known, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return docs.join(_linked(docs, chunk), "fp").select("doc_id", "fp", "n_near", "component_id")
+
+
+def _with_prints(batches):
+    for b in batches:
+        prints = np.array([fingerprint(t or b"") for t in text_bytes(b.column("text"))], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], [*b.schema.names, "__fp"])
+
+
+def one_of_each(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """documents without near-duplicates: of each component, the row of the smallest doc_id (then fingerprint).
+
+    All columns stay.  Null ids count as greatest; of rows with equal id and fingerprint one stays.
+    """
+    docs = written(documents.mapInArrow(_with_prints, T.StructType([*documents.schema.fields, T.StructField("__fp", T.LongType())])), "printed")
+    bare = docs.select("doc_id", F.col("__fp").alias("fp"))
+    linked = bare.join(_linked(bare, chunk).select("fp", "root"), "fp")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")).alias("k"), F.count("*"))
+    kept = durable(first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp")))
+    stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__fp") == F.col("kept_fp")), "left_semi")
+    same = bare.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    if not same.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():  # only then are whole rows compared
+        stay = stay.dropDuplicates(["doc_id", "__fp"])
+    return stay.drop("__fp")
 
 
 def hex_of(fp: str = "fp"):
