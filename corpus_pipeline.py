@@ -47,8 +47,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best segmentation of each text: doc_id, n_pieces, ids_crc32, ids, score, next_score, round_trip."""
-    found = encode(docs, tokenizer_file("piece_bpe_32k.model"), best=2)
-    return found.select("doc_id", "n_pieces", "ids_crc32", F.element_at("ids", 1).alias("ids"), F.element_at("scores", 1).alias("score"), F.try_element_at("scores", F.lit(2)).alias("next_score"), "round_trip")
+    found = encode(docs, tokenizer_file("piece_bpe_32k.model"), best=2, paths="first")
+    return found.select("doc_id", "n_pieces", "ids_crc32", "ids", F.element_at("scores", 1).alias("score"), F.try_element_at("scores", F.lit(2)).alias("next_score"), "round_trip")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("private", private), ("pieces", pieces)]

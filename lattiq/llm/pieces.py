@@ -17,20 +17,21 @@ from __future__ import annotations
 
 import re
 import zlib
-from heapq import heappop, heappush, nsmallest
+from array import array
+from heapq import heappop, heappush
 from itertools import chain
 from math import inf
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import by_bytes, text_bytes
+
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_UNITS = 500_000
-_SCORE, _GAP, _IDS = itemgetter(0), itemgetter(1), itemgetter(2)
+CACHE_UNITS = 600_000
 
 
 class Pieces:
@@ -50,6 +51,7 @@ class Pieces:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
+        self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.text)]
         low = [s for s, _ in self.score.values() if s > -1e8]  # symbols that only carry characters have no rank
         self.byte_score = min(low) - PENALTY
         self.score = {p: (max(s, self.byte_score + PENALTY), i) for p, (s, i) in self.score.items()}
@@ -57,7 +59,7 @@ class Pieces:
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
         self.cut = self._cutter()
         self.trie = {p: self.score.get(p, (0.0, ())) for p in self.prefixes | self.score.keys()}
-        self.cache: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self._clear()
 
     @classmethod
     def of(cls, path: str, best: int) -> Pieces:
@@ -177,32 +179,67 @@ class Pieces:
         ids = tuple(self.bytes[b] for b in data) if self.bytes else (self.unknown,)
         return self.byte_score * len(ids), ids
 
-    def nbest(self, text: str) -> list[tuple[float, list[int]]]:
-        """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty."""
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.top, self.lead, self.start, self.flat = array("d"), array("d"), array("q", [0]), array("i")
+
+    def _learn(self, new: set[str]) -> None:
+        for u in new:
+            score, lead, ids = self.first(u)
+            self.place[u] = len(self.top)
+            self.top.append(score)
+            self.lead.append(lead)
+            self.flat.extend(ids)
+            self.start.append(len(self.flat))
+
+    def nbest(self, text: str, every: bool = True) -> list[tuple[float, list[int] | None]]:
+        """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty.
+
+        every: also the ids of those after the first, else None in their place.
+        """
+        total, ids, leads, parts = self.best_path(text)
+        out: list[tuple[float, list[int] | None]] = [(total, ids.tolist())]
+        if self.best > 1 and len(parts):
+            out += self.others(total, leads, parts, every)
+        return out
+
+    def best_path(self, text: str) -> tuple[float, np.ndarray, np.ndarray, list[str]]:
+        """(score, ids, the units' leads, the units) of a text's best segmentation."""
         parts = self.units(text)
-        cache = self.cache
-        new = set(parts).difference(cache)
+        new = set(parts).difference(self.place)
         if new:
-            if len(cache) + len(new) > CACHE_UNITS:
-                cache.clear()
+            if len(self.place) + len(new) > CACHE_UNITS:
+                self._clear()
                 new = set(parts)
-            for u in new:
-                cache[u] = self.first(u)
-        whole = list(map(cache.__getitem__, parts))
-        total = sum(map(_SCORE, whole))
-        paths = list(map(_IDS, whole))
-        out = [(total, list(chain.from_iterable(paths)))]
-        least = nsmallest(self.best - 1, zip(map(_GAP, whole), range(len(whole))))
-        gaps = [x for x in least if x[0] < inf]
+            self._learn(new)
+        if not parts:
+            return 0.0, np.zeros(0, np.int32), np.zeros(0), parts
+        k = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        start = np.frombuffer(self.start, np.int64)
+        at = start[k]
+        n = start[k + 1] - at
+        ends = np.cumsum(n)
+        ids = np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]
+        return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], parts
+
+    def others(self, total: float, leads: np.ndarray, parts: list[str], every: bool) -> list[tuple[float, list[int] | None]]:
+        """The segmentations after the best one, from the units of least lead (of equal leads, the first in the text)."""
+        wanted = self.best - 1
+        near = np.flatnonzero(leads <= np.partition(leads, min(wanted, len(leads)) - 1)[min(wanted, len(leads)) - 1])
+        near = near[np.argsort(leads[near], kind="stable")][:wanted]
+        gaps = [(float(leads[k]), int(k)) for k in near if leads[k] < inf]
         found_of = {k: self.search(parts[k], self.best) for _, k in gaps}
+        place, start, flat = self.place, self.start, self.flat
+        out: list[tuple[float, list[int] | None]] = []
         # least sums: a state changes some of these units; a step worsens its last one or brings in a later one
         heap = [(g, ((k, 1),), 0) for g, k in gaps[:1]]
-        while heap and len(out) < self.best:
+        while heap and len(out) < wanted:
             gap, change, x = heappop(heap)
-            other = list(paths)
-            for k, j in change:
-                other[k] = found_of[k][j][1]
-            out.append((total - gap, list(chain.from_iterable(other))))
+            other = None
+            if every:
+                of = {k: found_of[k][j][1] for k, j in change}
+                other = [i for k, u in enumerate(parts) for i in of.get(k) or flat[start[place[u]] : start[place[u] + 1]]]
+            out.append((total - gap, other))
             k, j = change[-1]
             found = found_of[k]
             if j + 1 < len(found):
@@ -215,40 +252,49 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            else:
-                out += self.text[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def _encode(path: str, best: int):
+def _encode(path: str, best: int, paths: str):
+    kinds = {"all": pa.list_(pa.list_(pa.int32())), "first": pa.list_(pa.int32())}
+
     def run(batches):
         model = Pieces.of(path, best)
         for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                found = model.nbest(text or "")
-                score, ids = found[0]
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), [s for s, _ in found], [i for _, i in found], model.decode(ids) == (text or "")))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.bool_()]
+            texts = [t or b"" for t in text_bytes(b.column("text"))]
             names = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*names, "n_pieces", "ids_crc32", "scores", "ids", "round_trip"])
+            for s, e in by_bytes(texts):
+                counts, sums, scores, kept, whole = [], [], [], [], []
+                for t in texts[s:e]:
+                    text = t.decode("utf-8", "replace")
+                    total, ids, leads, parts = model.best_path(text)
+                    more = model.others(total, leads, parts, paths == "all") if best > 1 and parts else []
+                    counts.append(len(ids))
+                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    scores.append([total, *(x for x, _ in more)])
+                    whole.append(model.decode(ids.tolist()) == text)
+                    if paths != "none":
+                        kept.append([ids, *(np.array(i, np.int32) for _, i in more)] if paths == "all" else ids)
+                more = [pa.array(kept, kinds[paths])] if paths != "none" else []
+                own = [b.column(c).slice(s, e - s) for c in names]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(scores, pa.list_(pa.float64())), *more, pa.array(whole, pa.bool_())],
+                    [*names, "n_pieces", "ids_crc32", "scores", *["ids"] * len(more), "round_trip"],
+                )
 
     return run
 
 
-def encode(documents: DataFrame, path: str, best: int = 2) -> DataFrame:
+def encode(documents: DataFrame, path: str, best: int = 2, paths: str = "all") -> DataFrame:
     """doc_id, n_pieces, ids_crc32, scores, ids, round_trip of each row's text.
 
-    ids: the ids of each of the best segmentations, scores theirs; n_pieces and ids_crc32 (little-endian
-    32-bit ids) describe the first; round_trip: decoding it gives the text.  A null text is an empty one
-    (one segmentation, no pieces); repeated rows are encoded each; ties keep the search's fixed order; other
-    columns are ignored; no rows give no rows.
+    scores: those of the best segmentations, in falling order.  ids: each one's ids (paths="all"), the ids of
+    the first (paths="first"), or no such column (paths="none").  n_pieces and ids_crc32 (little-endian 32-bit
+    ids) describe the first; round_trip: decoding it gives the text.  A null text is an empty one (one
+    segmentation, no pieces); repeated rows are encoded each; ties keep the search's fixed order; other columns
+    are ignored; no rows give no rows.
     """
-    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string("n_pieces long, ids_crc32 long, scores array<double>, ids array<array<int>>, round_trip boolean").fields])
-    return documents.select("doc_id", "text").mapInArrow(_encode(path, best), schema)
+    ids = {"all": "ids array<array<int>>, ", "first": "ids array<int>, ", "none": ""}[paths]
+    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string(f"n_pieces long, ids_crc32 long, scores array<double>, {ids}round_trip boolean").fields])
+    return documents.select("doc_id", "text").mapInArrow(_encode(path, best, paths), schema)

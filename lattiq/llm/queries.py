@@ -90,9 +90,9 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), best=4)
+    found = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), best=4, paths="none")
     scores = F.concat_ws(",", F.transform("scores", lambda s: s.cast("long").cast("string")))
-    return found.select("doc_id", "n_pieces", "ids_crc32", scores.alias("nbest_scores"), F.size("ids").alias("n_best"), "round_trip")
+    return found.select("doc_id", "n_pieces", "ids_crc32", scores.alias("nbest_scores"), F.size("scores").alias("n_best"), "round_trip")
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
