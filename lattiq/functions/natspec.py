@@ -11,7 +11,7 @@ from ..sources.solidity import Node, Tree
 
 ITEMS = "array<struct<kind:string,name:string,comment:string>>"
 _TAG = re.compile(r"@(title|author|notice|dev|param|return|inheritdoc|custom:[\w-]+)(?=\s|\Z)[ \t]*")
-_ITEM_KINDS = {"contract": "Contract", "interface": "Interface", "library": "Library", "function": "Function", "modifier": "Modifier", "constructor": "Constructor", "struct": "Struct", "enum": "Enum", "event": "Event", "error": "Error", "state_variable": "StateVariable", "using": "UsingDirective"}
+_ITEM_KINDS = {"contract": "Contract", "interface": "Interface", "library": "Library", "function": "Function", "modifier": "Modifier", "constructor": "Constructor", "struct": "Struct", "enum": "Enum", "event": "Event", "error_definition": "Error", "state_variable": "StateVariable", "using": "UsingDirective"}
 
 
 def parse(text: str) -> list[dict]:

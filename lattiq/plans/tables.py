@@ -389,3 +389,94 @@ def _(spark, d):
         "p_partkey", X.sanitize_identifier(F.concat_ws(" ", name, kind)).alias("sanitized"), X.capitalize(name).alias("capital"), X.pascal_case(F.concat_ws("_", name, kind)).alias("pascal"),
         X.normalize_space(F.concat(F.lit("  "), name, F.lit("\t"), kind, F.lit(" "))).alias("normal"), X.short_identifier(kind, 6).alias("short"),
     )
+
+
+def _ints(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").selectExpr("l_orderkey * 16 + l_linenumber as k", "l_partkey", "cast(l_linenumber as bigint) as a", "l_partkey % 7 as b", "l_suppkey as c")
+
+
+_INTS = "i AS (SELECT l_orderkey * 16 + l_linenumber AS k, l_partkey, l_linenumber::BIGINT AS a, l_partkey % 7 AS b, l_suppkey AS c FROM lineitem)"
+
+
+def _compiled(spark, d, **texts):
+    from ..functions.predicate import compile_predicate
+
+    columns = {n: F.col(n) for n in "abc"}
+    out = []
+    for name, text in texts.items():
+        c = compile_predicate(text, columns)
+        out.append((c if any(x in text for x in ("<", ">", "==", "!=", "&&", "||", "!")) and "<<" not in text and ">>" not in text and "?" not in text else c.cast("bigint")).alias(name))
+    return _ints(spark, d).select("k", "l_partkey", *out)
+
+
+@query("exp_arithmetic", f"WITH {_INTS} SELECT k, l_partkey, a + b * 2 - c AS plain, a * c + 7 AS product, CASE WHEN b <> 0 THEN c // b END AS quotient, CASE WHEN b <> 0 THEN c % b END AS rest, a ** 3 AS cube FROM i".replace("a ** 3 AS cube", "(a * a * a)::BIGINT AS cube"))
+def _(spark, d):
+    return _compiled(spark, d, plain="a + b * 2 - c", product="a * c + 7", quotient="c / b", rest="c % b", cube="a ** 3")
+
+
+@query("exp_compare_logic", f"WITH {_INTS} SELECT k, l_partkey, a > b AND c <> 3 AS both_hold, a <= b OR c = 5 AS either, NOT (b = 0) AS nonzero, a >= 2 AS at_least FROM i")
+def _(spark, d):
+    return _compiled(spark, d, both_hold="a > b && c != 3", either="a <= b || c == 5", nonzero="!(b == 0)", at_least="a >= 2")
+
+
+@query("exp_bits_conditional", f"WITH {_INTS} SELECT k, l_partkey, c & 6 AS masked, b | 8 AS joined, xor(c, a) AS mixed, b << 3 AS shifted, c >> 2 AS halved, CASE WHEN a > 3 THEN b ELSE c END AS picked FROM i")
+def _(spark, d):
+    return _compiled(spark, d, masked="c & 6", joined="b | 8", mixed="c ^ a", shifted="b << 3", halved="c >> 2", picked="a > 3 ? b : c")
+
+
+@query("inv_counterexamples", None)
+def _(spark, d):
+    from ..functions.invariants import counterexamples
+
+    conditions = _t(spark, d, "part").select("p_size").distinct().select(F.col("p_size").alias("condition_id"), F.concat(F.lit("amount > "), F.col("p_size")).alias("expression"))
+    return counterexamples(conditions, seed=7).select("condition_id", "place", "attempt", "substituted")
+
+
+def _sources(spark, d) -> DataFrame:
+    """A project for each nation, a contract for each customer, a writing function for each order."""
+    functions = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit(" function o"), k, F.lit("() public { total = "), k, F.lit("; }"))), "").alias("body"))
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey").join(functions, "c_custkey", "left")
+    text = F.concat(F.lit("contract C"), "c_custkey", F.lit(" { uint256 total;"), F.coalesce("body", F.lit("")), F.lit(" }"))
+    return c.select(F.col("c_nationkey").cast("string").alias("project"), F.concat("c_custkey", F.lit(".sol")).alias("path"), F.encode(text, "utf-8").alias("content"))
+
+
+@query("ext_extraction", """WITH c AS (SELECT c_nationkey::VARCHAR AS project, count(*) AS n FROM customer GROUP BY 1), o AS (SELECT c_nationkey::VARCHAR AS project, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+ SELECT 'node' AS what, k AS kind, sum(m)::BIGINT AS n FROM (SELECT 'StorageVariable' AS k, n AS m FROM c UNION ALL SELECT 'Constructor', n FROM c UNION ALL SELECT 'Function', n FROM o) GROUP BY 2 UNION ALL SELECT 'edge', 'StorageWrite', sum(n)::BIGINT FROM o""")
+def _(spark, d):
+    from .extract import extract
+
+    g = extract(_sources(spark, d))
+    n = g.nodes.groupBy(F.lit("node").alias("what"), F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
+    return n.unionByName(g.edges.groupBy(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
+
+
+@query("gq9_extracted_report", "SELECT 'C' || c_custkey || '.o' || o_orderkey AS endpoint, '' AS reads, 'C' || c_custkey || '.total' AS writes FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    from .extract import extract
+
+    g = extract(_sources(spark, d))
+    return G.storage_report(g.nodes, g.edges).select("endpoint", "reads", "writes")
+
+
+@query("dg1_sequence_lines", "SELECT line, count(*) AS n FROM (SELECT 'User->>C' || c_custkey || ': call o' || o_orderkey || '()' AS line FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'Note over C' || c_custkey || ': Write C' || c_custkey || '.total' FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'C' || c_custkey || '-->>User: ret from o' || o_orderkey || '()' FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY line")
+def _(spark, d):
+    from .diagram import sequence_diagram
+    from .extract import extract
+
+    return sequence_diagram(extract(_sources(spark, d))).where("section = 2").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("dg13_chunks", None)
+def _(spark, d):
+    from .diagram import chunk_lines
+
+    lines = _lines(spark, d).select("doc_id", F.col("line").alias("ord"), F.col("s").alias("line"))
+    return chunk_lines(lines, ["doc_id"]).groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+
+
+@query("ts_generated_tests", "SELECT 'C' || c_custkey || 'DeployerTest.t.sol' AS path FROM customer UNION ALL SELECT 'C' || c_custkey || 'O' || o_orderkey || 'StateTest0.t.sol' FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    from .extract import extract
+    from .testgen import all_tests
+
+    return all_tests(extract(_sources(spark, d))).select("path")
