@@ -64,8 +64,8 @@ def test_diagram_errors(text, kind):
 
 
 def test_builder_and_rows(spark):
-    b = M.Builder().title("T").participant("A").signal("A", "B", "->>+", "go").begin("alt", "x").note("over", "A", "n").otherwise("y").end().autonumber()
+    b = M.Builder().title("T").participant("A").signal("A", "Bob", "->>+", text="go").begin("alt", "x").note("over", "A", "n").otherwise("y").end().autonumber()
     text = b.build()
-    assert M.write(M.parse(text)) == text and "activate B" in text
+    assert M.write(M.parse(text)) == text and "activate Bob" in text
     got = M.statements(spark.createDataFrame([(1, text), (2, "no")], "diagram bigint, text string")).collect()
     assert sum(r.diagram == 1 for r in got) == len(b.rows) and [r.a for r in got if r.kind == "error"] == ["NotASequenceDiagram"]
