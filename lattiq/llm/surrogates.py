@@ -66,9 +66,10 @@ _SECRET_HINTS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))"
     r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))"
 )
+_US_PHONE = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)")
 _STARTS = re.compile(r"[0-9+(]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])")
@@ -88,6 +89,17 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _shorter_card(run: str) -> str | None:
+    """The longest card number (13 digits or more) that begins the run and ends before one of its separators."""
+    for m in reversed(list(re.finditer(r"[ -]", run))):
+        digits = re.sub(r"\D", "", run[: m.start()])
+        if len(digits) < 13:
+            return None
+        if luhn(digits):
+            return run[: m.start()]
+    return None
+
+
 def _spans(text: str):
     """(start, priority, end, kind, canonical form) of whatever looks like an entity; may overlap."""
     at = text.find("@")
@@ -127,19 +139,23 @@ def _spans(text: str):
             continue
         kind, s = m.lastgroup, m[0]
         digits = re.sub(r"\D", "", s)
+        end = m.end()
         if kind == "card" and not luhn(digits):
-            m = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)").match(text, c.start())
-            if not m:
+            if m := _US_PHONE.match(text, c.start()):
+                kind, s = "phone", m[0]
+            elif short := _shorter_card(s):
+                s = short
+            else:
                 continue
-            kind, s = "phone", m[0]
+            end = c.start() + len(s)
             digits = re.sub(r"\D", "", s)
         if kind == "phone" and not 8 <= len(digits) <= 15:
             continue
-        done = m.end()
+        done = end
         canonical = {"ip": ".".join(str(int(x)) for x in s.split(".")) if kind == "ip" else ""}.get(kind, digits)
         if kind == "phone" and len(digits) == 11 and digits[0] == "1":
             canonical = digits[1:]
-        yield m.start(), 5, m.end(), kind, canonical
+        yield c.start(), 5, end, kind, canonical
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:

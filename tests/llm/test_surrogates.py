@@ -20,6 +20,18 @@ def test_detection():
         assert S.find(clean) == [], clean
 
 
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "4222222222222"])
+@pytest.mark.parametrize("after", [" 12/26", " 123", " 12 26 123", "-123", "-12345", " 7", ", 12/26", " 5500 0000 0000 0004"])
+def test_card_before_other_digits(card, after):
+    got = S.find(f"pay {card}{after} now")
+    assert got[0] == (4, 4 + len(card), "card", re.sub(r"\D", "", card))
+    assert [c for *_, c in got[1:]] == (["5500000000000004"] if "5500" in after else [])
+
+
+def test_phone_before_card():
+    assert [k for _, _, k, _ in S.find("555-123-4567 4111 1111 1111 1111 12/26")] == ["phone", "card"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 26, 1000, 10**6 + 3])
 def test_permutation_is_one_to_one(n):
     k = S.Keyed(KEY)
