@@ -6,6 +6,11 @@ surrogates by construction; names are drawn by a keyed digest from lists of thei
 surrogate belongs to the canonical form of an entity (digits of a phone number, lower-cased address, ...) and
 is written in the format of each occurrence, so an entity keeps one surrogate in all documents.
 
+A name is the words with a capital after a title (of any number; small words like "de" and initials stay); its
+words are then found everywhere in the same text where they stand with a capital.  Names in texts that give
+none of their words a title are not seen.  A neutral title leaves the gender to the text's other titles, then to
+the lists of names.  In a text all in capitals a name ends at punctuation or a common function word only.
+
 Collision checks run in Spark over all distinct entities of the corpus: an entity whose surrogate is its own
 text, the text of any other entity, or the surrogate of a smaller one is drawn again under the next attempt,
 until none is left.  Only those redrawn leave attempt 0; they are sent to every executor where few (checked),
@@ -42,14 +47,22 @@ GIVEN = {
 _TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Srta Dña Госпожа Г-жа Κυρία".split(),
     "m": "Mr Sir Herr Monsieur Señor Sr Don Господин Г-н Κύριος".split(),
+    "n": "Dr Doctor Doktor Docteur Prof Professor Professeur Mx Доктор Профессор Δρ".split(),
 }
-_GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
+_GENDER = {x: g for g, ts in _TITLES.items() for t in ts for x in (t, t.upper())}
+_LISTED = {n.lower(): g for (_, g), ns in GIVEN.items() for n in ns}
+#: Small words inside a name; kept as they are.
+_PARTICLES = "de del la las los von van der den dem zu zur di da dal della dos das du le ter ten af av al el bin ibn".split()
+#: In capitals these end a name, which no lower case shows there.
+_NO_NAME = frozenset(
+    "A AN THE AND OR OF TO IN ON AT BY FOR FROM WITH AS IS ARE WAS WERE BE HAS HAVE HAD WILL WOULD CAN MAY MUST NOT WHO SAID I YOU HE SHE IT WE THEY HIS HER UND ODER DER DIE DAS IST WAR HAT MIT EL LOS Y O ES CON QUE ET OU LE LES EST A POUR".split()
+)
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we".split(),
     "cyrillic": "ба бе бо да де до га ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве".split(),
     "greek": "βα βε βο δα δε δο γα κα κο λα λε λο μα με μο να νε νο πα πε ρα ρε σα σε τα τε".split(),
 }
-_ENDING = {("latin", "f"): "ina", ("latin", "m"): "an", ("latin", "s"): "ner", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ан", ("cyrillic", "s"): "нов", ("greek", "f"): "ίνα", ("greek", "m"): "ος", ("greek", "s"): "ίδης"}
+_ENDING = {("latin", "f"): "ina", ("latin", "m"): "an", ("latin", "n"): "is", ("latin", "s"): "ner", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ан", ("cyrillic", "n"): "ей", ("cyrillic", "s"): "нов", ("greek", "f"): "ίνα", ("greek", "m"): "ος", ("greek", "n"): "ις", ("greek", "s"): "ίδης"}
 
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
@@ -73,7 +86,11 @@ _US_PHONE = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)")
 _STARTS = re.compile(r"[0-9+(]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])")
-_PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_NAME}(?: {_NAME}){{0,2}})")
+_TITLE = rf"(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})"
+_NEUTRAL = rf"(?:{'|'.join(sorted((x for x, g in _GENDER.items() if g == 'n'), key=len, reverse=True))})"
+_TITLED = re.compile(rf"(?<!\w)({_TITLE}(?:\.? {_NEUTRAL})*)(?!\w)(?=\.? )")
+_PART = re.compile(rf" (?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}({_NAME})")
+_OWNER = re.compile(r"(?<=.)['’][sS]\Z")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -100,6 +117,41 @@ def _shorter_card(run: str) -> str | None:
     return None
 
 
+def _people(text: str):
+    """(start, end, kind) of the words of names: those after a title, then other mentions of them with a capital."""
+    people = []
+    for m in _TITLED.finditer(text):
+        gender = next((g for t in re.split(r"\.? ", m[1]) if (g := _GENDER[t]) != "n"), "n")
+        words, at, dot = [], m.end(), True
+        while True:
+            at += dot and text[at : at + 1] == "."
+            w = _PART.match(text, at)
+            if not w or not text[w.start(1)].isupper():
+                break
+            a, at = w.span(1)
+            dot = at == a + 1 and text[at : at + 1] == "."  # an initial stays
+            if dot:
+                continue
+            if w[1] in _NO_NAME and (words or m[1].isupper()):
+                break
+            words.append((a, a + len(_OWNER.sub("", w[1]))))
+        people.append((gender, words))
+    genders = {text[a:e].lower(): g for g, words in people if g != "n" for a, e in words[:-1]}
+    kinds: dict[str, str] = {}
+    for gender, words in people:
+        for k, (a, e) in enumerate(words):
+            name = text[a:e].lower()
+            own = genders.get(name) or _LISTED.get(name, "n") if gender == "n" else gender
+            kind = f"name-{_script(name)}-{'s' if k == len(words) - 1 else own}"
+            kinds.setdefault(name, kind)
+            yield a, e, kind
+    if names := {f for n in kinds if len(n) > 1 for f in (n.title(), n.upper(), n.capitalize())} | {text[a:e] for _, words in people for a, e in words if e > a + 1}:
+        titled = {a for _, words in people for a, _ in words}
+        for m in re.finditer(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?![^\W_])", text):
+            if m.start() not in titled and (kind := kinds.get(m[0].lower())):
+                yield m.start(), m.end(), kind
+
+
 def _spans(text: str):
     """(start, priority, end, kind, canonical form) of whatever looks like an entity; may overlap."""
     at = text.find("@")
@@ -116,15 +168,8 @@ def _spans(text: str):
         for m in _SECRET.finditer(text):
             yield m.start(1), 2, m.end(1), "secret", m[1]
     if any(x in text for x in _GENDER):
-        for m in _PERSON.finditer(text):
-            names = []
-            for w in re.finditer(_NAME, m[2]):
-                if not w[0][0].isupper():
-                    break
-                names.append(w)
-            for w in names:
-                part = "s" if w is names[-1] else _GENDER[m[1]]
-                yield m.start(2) + w.start(), 8, m.start(2) + w.end(), f"name-{_script(w[0])}-{part}", w[0].lower()
+        for a, e, kind in _people(text):
+            yield a, 8, e, kind, text[a:e].lower()
     if not _DIGIT.search(text):
         return
     for m in _HEX.finditer(text):

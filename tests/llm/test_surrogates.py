@@ -28,6 +28,33 @@ def test_card_before_other_digits(card, after):
     assert [c for *_, c in got[1:]] == (["5500000000000004"] if "5500" in after else [])
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Mrs Anna Kovacs wrote; Kovacs left, and Anna's dog. KOVACS!", "f anna, s kovacs, s kovacs, f anna, s kovacs"),
+        ("Señora Ana María García Márquez", "f ana, f maría, f garcía, s márquez"),
+        ("Dr. Maria Lopez and Prof. Lopez", "f maria, s lopez, s lopez"),
+        ("Frau Prof. Dr. Alma Weber, Dr Alma Weber", "f alma, s weber, f alma, s weber"),
+        ("MR. SMITH AND THE DOG. Smith", "s smith, s smith"),
+        ("Mr. J. F. Kovacs", "s kovacs"),
+        ("Señora Ana de la Cruz", "f ana, s cruz"),
+        ("Kovacs came. Mr Kovacs's car, the kovacs", "s kovacs, s kovacs"),
+        ("Dr Quil Rossi", "n quil, s rossi"),
+        ("Mr Don Smith", "m don, s smith"),
+        ("The Dr of words, Prof. of it", ""),
+    ],
+)
+def test_names(text, names):
+    assert ", ".join(f"{k.split('-')[2]} {c}" for _, _, k, c in S.find(text)) == names
+
+
+def test_untitled_mentions_are_coreferent(spark):
+    got = run(spark, ["Mrs Anna Kovacs wrote; Kovacs left", "Prof. Kovacs, Dr. Anna Kovacs"])
+    given, name = got[0].text.split()[1:3]
+    assert got[0].text == f"Mrs {given} {name} wrote; {name.strip(';')} left" and got[1].text == f"Prof. {name.strip(';')}, Dr. {given} {name.strip(';')}"
+    assert "Kovacs" not in got[0].text
+
+
 def test_phone_before_card():
     assert [k for _, _, k, _ in S.find("555-123-4567 4111 1111 1111 1111 12/26")] == ["phone", "card"]
 
