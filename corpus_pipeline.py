@@ -46,9 +46,11 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of each text: doc_id, n_pieces, ids_crc32, ids, score, next_score, round_trip."""
-    found = encode(docs, tokenizer_file("piece_bpe_32k.model"), best=2, paths="first")
-    return found.select("doc_id", "n_pieces", "ids_crc32", "ids", F.element_at("scores", 1).alias("score"), F.try_element_at("scores", F.lit(2)).alias("next_score"), "round_trip")
+    """The two best segmentations of each text: doc_id, n_pieces, ids_crc32, ids, score, next_score, next_ids, round_trip (of both)."""
+    found = encode(docs, tokenizer_file("piece_bpe_32k.model"), best=2)
+    score, ids = ([F.try_element_at(c, F.lit(k)) for k in (1, 2)] for c in ("scores", "ids"))
+    whole = F.forall("paths", lambda p: p["round_trip"])
+    return found.select("doc_id", "n_pieces", "ids_crc32", ids[0].alias("ids"), score[0].alias("score"), score[1].alias("next_score"), ids[1].alias("next_ids"), whole.alias("round_trip"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("private", private), ("pieces", pieces)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 from math import inf
@@ -192,19 +193,19 @@ class Pieces:
             self.flat.extend(ids)
             self.start.append(len(self.flat))
 
-    def nbest(self, text: str, every: bool = True) -> list[tuple[float, list[int] | None]]:
-        """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty.
+    def nbest(self, text: str) -> list[tuple[float, list[int]]]:
+        """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty."""
+        return [(score, ids.tolist()) for score, ids in self.paths(text)]
 
-        every: also the ids of those after the first, else None in their place.
-        """
-        total, ids, leads, parts = self.best_path(text)
-        out: list[tuple[float, list[int] | None]] = [(total, ids.tolist())]
-        if self.best > 1 and len(parts):
-            out += self.others(total, leads, parts, every)
-        return out
+    def paths(self, text: str) -> Iterator[tuple[float, np.ndarray]]:
+        """(score, ids) of the best segmentations in falling order, each built when it is asked for."""
+        total, ids, leads, parts, ends = self.best_path(text)
+        yield total, ids
+        if self.best > 1 and parts:
+            yield from self.others(total, ids, leads, parts, ends)
 
-    def best_path(self, text: str) -> tuple[float, np.ndarray, np.ndarray, list[str]]:
-        """(score, ids, the units' leads, the units) of a text's best segmentation."""
+    def best_path(self, text: str) -> tuple[float, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(score, ids, the units' leads, the units, where each one's ids end) of a text's best segmentation."""
         parts = self.units(text)
         new = set(parts).difference(self.place)
         if new:
@@ -213,33 +214,33 @@ class Pieces:
                 new = set(parts)
             self._learn(new)
         if not parts:
-            return 0.0, np.zeros(0, np.int32), np.zeros(0), parts
+            return 0.0, np.zeros(0, np.int32), np.zeros(0), parts, np.zeros(0, np.int64)
         k = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
         start = np.frombuffer(self.start, np.int64)
         at = start[k]
         n = start[k + 1] - at
         ends = np.cumsum(n)
         ids = np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]
-        return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], parts
+        return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], parts, ends
 
-    def others(self, total: float, leads: np.ndarray, parts: list[str], every: bool) -> list[tuple[float, list[int] | None]]:
+    def others(self, total: float, ids: np.ndarray, leads: np.ndarray, parts: list[str], ends: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
         """The segmentations after the best one, from the units of least lead (of equal leads, the first in the text)."""
         wanted = self.best - 1
         near = np.flatnonzero(leads <= np.partition(leads, min(wanted, len(leads)) - 1)[min(wanted, len(leads)) - 1])
         near = near[np.argsort(leads[near], kind="stable")][:wanted]
         gaps = [(float(leads[k]), int(k)) for k in near if leads[k] < inf]
         found_of = {k: self.search(parts[k], self.best) for _, k in gaps}
-        place, start, flat = self.place, self.start, self.flat
-        out: list[tuple[float, list[int] | None]] = []
+        made = 0
         # least sums: a state changes some of these units; a step worsens its last one or brings in a later one
         heap = [(g, ((k, 1),), 0) for g, k in gaps[:1]]
-        while heap and len(out) < wanted:
+        while heap and made < wanted:
             gap, change, x = heappop(heap)
-            other = None
-            if every:
-                of = {k: found_of[k][j][1] for k, j in change}
-                other = [i for k, u in enumerate(parts) for i in of.get(k) or flat[start[place[u]] : start[place[u] + 1]]]
-            out.append((total - gap, other))
+            spliced, at = [], 0
+            for k, j in sorted(change):
+                spliced += [ids[at : ends[k - 1] if k else 0], np.array(found_of[k][j][1], np.int32)]
+                at = ends[k]
+            yield total - gap, np.concatenate([*spliced, ids[at:]])
+            made += 1
             k, j = change[-1]
             found = found_of[k]
             if j + 1 < len(found):
@@ -249,15 +250,15 @@ class Pieces:
                 heappush(heap, (gap + g, (*change, (later, 1)), x + 1))
                 if j == 1:
                     heappush(heap, (gap - gaps[x][0] + g, (*change[:-1], (later, 1)), x + 1))
-        return out
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def _encode(path: str, best: int, paths: str):
+def _encode(path: str, best: int, keep: str):
     kinds = {"all": pa.list_(pa.list_(pa.int32())), "first": pa.list_(pa.int32())}
+    of_path = pa.struct([("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
     def run(batches):
         model = Pieces.of(path, best)
@@ -265,36 +266,41 @@ def _encode(path: str, best: int, paths: str):
             texts = [t or b"" for t in text_bytes(b.column("text"))]
             names = [c for c in b.schema.names if c != "text"]
             for s, e in by_bytes(texts):
-                counts, sums, scores, kept, whole = [], [], [], [], []
+                scores, paths, kept = [], [], []
                 for t in texts[s:e]:
                     text = t.decode("utf-8", "replace")
-                    total, ids, leads, parts = model.best_path(text)
-                    more = model.others(total, leads, parts, paths == "all") if best > 1 and parts else []
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    scores.append([total, *(x for x, _ in more)])
-                    whole.append(model.decode(ids.tolist()) == text)
-                    if paths != "none":
-                        kept.append([ids, *(np.array(i, np.int32) for _, i in more)] if paths == "all" else ids)
-                more = [pa.array(kept, kinds[paths])] if paths != "none" else []
+                    sums, digests, held = [], [], []
+                    for score, ids in model.paths(text):
+                        sums.append(score)
+                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "round_trip": model.decode(ids.tolist()) == text})
+                        if keep == "all" or (keep == "first" and not held):
+                            held.append(ids)
+                    scores.append(sums)
+                    paths.append(digests)
+                    if keep != "none":
+                        kept.append(held if keep == "all" else held[0])
+                more = [pa.array(kept, kinds[keep])] if keep != "none" else []
                 own = [b.column(c).slice(s, e - s) for c in names]
+                first = [pa.array([p[0][c] for p in paths], of_path.field(c).type) for c in ("n_pieces", "ids_crc32", "round_trip")]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(scores, pa.list_(pa.float64())), *more, pa.array(whole, pa.bool_())],
-                    [*names, "n_pieces", "ids_crc32", "scores", *["ids"] * len(more), "round_trip"],
+                    [*own, *first[:2], pa.array(scores, pa.list_(pa.float64())), *more, first[2], pa.array(paths, pa.list_(of_path))],
+                    [*names, "n_pieces", "ids_crc32", "scores", *["ids"] * len(more), "round_trip", "paths"],
                 )
 
     return run
 
 
 def encode(documents: DataFrame, path: str, best: int = 2, paths: str = "all") -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, scores, ids, round_trip of each row's text.
-
-    scores: those of the best segmentations, in falling order.  ids: each one's ids (paths="all"), the ids of
-    the first (paths="first"), or no such column (paths="none").  n_pieces and ids_crc32 (little-endian 32-bit
-    ids) describe the first; round_trip: decoding it gives the text.  A null text is an empty one (one
-    segmentation, no pieces); repeated rows are encoded each; ties keep the search's fixed order; other columns
-    are ignored; no rows give no rows.
+    """doc_id, n_pieces, ids_crc32, scores, ids, round_trip, paths of each row's text.
+
+    scores: those of the best segmentations, in falling order.  paths: of each one, in the same order, n_pieces,
+    ids_crc32 (little-endian 32-bit ids) and round_trip (decoding its ids gives the text), from its ids in full;
+    n_pieces, ids_crc32 and round_trip beside it are the first one's.  ids: each one's ids (paths="all"), the
+    ids of the first (paths="first"), or no such column (paths="none": they are built but don't leave the
+    worker).  A null text is an empty one (one segmentation, no pieces); repeated rows are encoded each; ties
+    keep the search's fixed order; other columns are ignored; no rows give no rows.
     """
     ids = {"all": "ids array<array<int>>, ", "first": "ids array<int>, ", "none": ""}[paths]
-    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string(f"n_pieces long, ids_crc32 long, scores array<double>, {ids}round_trip boolean").fields])
+    of_path = "paths array<struct<n_pieces:bigint,ids_crc32:bigint,round_trip:boolean>>"
+    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string(f"n_pieces long, ids_crc32 long, scores array<double>, {ids}round_trip boolean, {of_path}").fields])
     return documents.select("doc_id", "text").mapInArrow(_encode(path, best, paths), schema)

@@ -1,9 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 
 from lattiq.llm import pieces as P
 from lattiq.llm.common import table
-from lattiq.llm.queries import tokenizer_file
+from lattiq.llm.queries import op8_pieces, tokenizer_file
 
 PATH = tokenizer_file("piece_bpe_32k.model")
 
@@ -59,3 +61,16 @@ def test_whole_table(spark, model):
             want = few.nbest(texts[r.doc_id])
             assert [s for s, _ in want] == r.scores and [i for _, i in want] == r.ids and list(np.sort(r.scores)[::-1]) == r.scores
     assert P.encode(extra.limit(0), PATH).count() == 0
+
+
+def test_query_builds_every_path(spark):
+    sf = "/root/testdata/sf0.001"
+    four = P.Pieces(PATH, 4)
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    got = op8_pieces(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = four.nbest(texts[r.doc_id])
+        crcs = [zlib.crc32(np.array(i, "<u4").tobytes()) for _, i in want]
+        assert r.n_best == len(want) and r.nbest_ids_crc32 == ",".join(map(str, crcs)) and len(set(crcs)) == len(crcs)
+        assert r.nbest_n_pieces == ",".join(str(len(i)) for _, i in want) and r.nbest_round_trip == ",".join(["true"] * len(want))
