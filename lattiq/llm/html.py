@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
+#: Attributes by the HTML rules: a quote opens a value only after "="; one that is never closed is a character.
+_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +53,7 @@ class Node:
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; text items are str, with references not yet decoded.  A tag that the page's end cuts off is dropped."""
+    """The tree of a page; text items are str, with references not yet decoded.  A tag that the page's end cuts off is dropped, or ends at its first ">" if it has one."""
     root = Node("html")
     at, n = 0, len(source)
     open_ = [root]
@@ -67,8 +69,11 @@ def parse(source: str) -> Node:
                 open_[-1].items.append(s[9:-3] if s.endswith("]]>") else s[9:])
             continue
         tag = tag.lower()
-        if not m.group(4):
-            break
+        attrs = m.group(3)
+        if not m.group(4):  # a quoted ">" may be its only end
+            if (first := source.find(">", m.end(2))) < 0:
+                break
+            attrs, at = source[m.end(2) : first], first + 1
         if m.group(1):
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == tag:
@@ -94,7 +99,7 @@ def parse(source: str) -> Node:
                         break
                 elif open_[k].tag in _SCOPE - ends:
                     break
-        node = Node(tag, m.group(3) or "", open_[-1])
+        node = Node(tag, attrs, open_[-1])
         open_[-1].items.append(node)
         if tag in _VOID:
             continue
@@ -102,7 +107,7 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             node.items.append(source[at : end.start() if end else n])
             at = end.end() if end else n
-        elif not (m.group(3) or "").endswith("/") or tag in _BLOCK or tag == "a":
+        elif not attrs.endswith("/") or tag in _BLOCK or tag == "a":
             open_.append(node)
     return root
 

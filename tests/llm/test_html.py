@@ -38,6 +38,13 @@ def test_edges():
     assert main_text(deep) == "deep text here"
 
 
+@pytest.mark.parametrize("tag", ['<p class="a"">', "<p class='a''>", "<p title='Tom's'>", '<p "a">', '<p title="unclosed>', "<p a = 'x>y' b=\"'\">", '<p a=b"c>', '<p title="a > b" class="c>'])
+@pytest.mark.parametrize("rest", ["", " It isn't so, isn't it?"])
+def test_stray_quotes(tag, rest):
+    text = main_text(f"<article><h1>Head</h1>{tag}{BODY[0]}{rest}</p><p>{BODY[1]}</p></article>")
+    assert text.endswith(f"{BODY[0]}{rest} {BODY[1]}")
+
+
 def test_whole_table_against_the_article_element(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     extra = spark.createDataFrame([(None, None, None), (1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
