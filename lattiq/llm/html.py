@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 A lenient parser builds the DOM (implied end tags, raw-text elements, cut-off pages).  Elements that are never
-article text (menus, forms, scripts, notices, reader comments, ...) are cut away by tag, role and class.  For
-each node that stays, the composite text density is its characters per tag, adjusted for links:
+article text (menus, forms, scripts, notices, reader comments, ...) are cut away by tag, role and class; by class or id alone at any size, unless the
+element holds the page's main body by structure.  For each node that stays, the composite text density is its characters per tag, adjusted for links:
 
     C/T * log(C/LC * T/LT) / log(b),  b = ln(C/nLC * LC + LCbody/Cbody * C + e) + e - 1
 
@@ -38,6 +38,8 @@ _NOISE = set(
 )
 #: Tags that are nodes of the density tree: blocks and links.
 _NODES = (_BLOCK - {"br", "hr"}) | {"a"}
+#: Characters from which a block's own text is running text.
+_RUNNING = 60
 _KEEP = {"html", "body", "article", "main"}
 #: start tag -> open elements that it ends
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -46,7 +48,7 @@ _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "div", "section", "article", "b
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "noise")
+    __slots__ = ("tag", "attrs", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "noise", "own", "running", "headed", "holds")
 
     def __init__(self, tag: str, attrs: str = "", up: Node | None = None):
         self.tag, self.attrs, self.up, self.items = tag, attrs, up, []
@@ -113,7 +115,7 @@ def parse(source: str) -> Node:
 
 
 def _is_noise(node: Node) -> int:
-    """2: never text; 1: by its names only; 0: not."""
+    """2: never text; 1: by its names, unless it holds the page's main body; 0: not."""
     if node.tag in _CUT:
         return 2
     if node.tag == "header":  # of the page, not of an article
@@ -126,8 +128,7 @@ def _is_noise(node: Node) -> int:
     if not node.attrs or node.tag in _KEEP:
         return 0
     names: set[str] = set()
-    for k, a, b, c in _ATTR.findall(node.attrs):
-        k, v = k.lower(), a or b or c
+    for k, v in _attributes(node):
         if k in ("class", "id"):
             names.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
         elif k == "role" and v.lower() in _ROLES:
@@ -137,6 +138,63 @@ def _is_noise(node: Node) -> int:
     return int(not names.isdisjoint(_NOISE))
 
 
+def _attributes(node: Node) -> list[tuple[str, str]]:
+    return [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(node.attrs)]
+
+
+def _is_main(node: Node) -> bool:
+    """Whether a node is the page's main body by its tag, role or property.
+
+    An article counts with a headline of its own, or where it stands in no list and no other article and has no
+    name of noise: comments are articles too.
+    """
+    if node.tag == "main":
+        return True
+    if node.tag == "article":
+        if node.headed:
+            return True
+        names = " ".join(v for k, v in _attributes(node) if k in ("class", "id")) if node.attrs else ""
+        if not _NOISE.isdisjoint(re.findall(r"[a-z]+", names.lower())):
+            return False
+        up = node.up
+        while up is not None and up.tag not in ("li", "ol", "ul", "article"):
+            up = up.up
+        return up is None
+    return bool(node.attrs) and any((k == "role" and v.lower() == "main") or (k == "itemprop" and v.lower() == "articlebody") for k, v in _attributes(node))
+
+
+def _structure(order: list[Node]) -> None:
+    """For each node: characters of its own text, blocks of running text, whether it has a headline, and whether it holds a main body.
+
+    A main body is an element that says so, or a headline with two blocks of running text or more.  What stands in
+    a node that is noise by its names isn't seen from outside of it.
+    """
+    for x in reversed(order):
+        x.own = x.running = 0
+        x.headed = x.holds = False
+        if x.noise == 2:
+            continue
+        for c in x.items:
+            if isinstance(c, str):
+                x.own += len(c) - c.count(" ") - c.count("\n")
+            elif not c.noise:
+                if c.tag not in _NODES:
+                    x.own += c.own
+                x.running += c.running
+                x.headed |= c.headed
+                x.holds |= c.holds
+        x.running += x.tag in _BLOCK and x.own >= _RUNNING
+        x.headed |= x.tag == "h1" and x.own > 0
+        x.holds = x.holds or _is_main(x) or (x.headed and x.running >= 2 and x.tag not in ("article", "section"))
+
+
+def _in_article(x: Node) -> bool:
+    up = x.up
+    while up is not None and up.tag != "article":
+        up = up.up
+    return up is not None
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts characters and tags bottom-up; returns the nodes in page order."""
     order, todo = [], [root]
@@ -192,12 +250,13 @@ def _density(x: Node, linked: float) -> float:
 def main_text(source: str) -> str:
     root = parse(source)
     order = _measure(root)
-    whole = root.chars
-    # by names alone, a node that holds most of the page isn't cut
+    # by names alone, a node that holds the main body isn't cut
     named = [x for x in order if x.noise == 1]
     if named:
+        _structure(order)
+        elsewhere = root.holds
         for x in named:
-            x.noise = 2 if x.chars <= 0.6 * whole else 0
+            x.noise = 0 if x.holds and not elsewhere and not _in_article(x) else 2
         _count(order)
     body = next((x for x in order if x.tag == "body" and x.noise != 2), root)
     if not body.chars:

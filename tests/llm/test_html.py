@@ -45,6 +45,28 @@ def test_stray_quotes(tag, rest):
     assert text.endswith(f"{BODY[0]}{rest} {BODY[1]}")
 
 
+THREAD = [f"Reader {i} says that this is {'very ' * 30} true and has a lot more to add to it." for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    "thread",
+    [
+        f"<div id='comments'>{paras(THREAD)}</div>",
+        "<ol class='commentlist'>" + "".join(f"<li><p>{x}</p></li>" for x in THREAD) + "</ol>",
+        "<div id=comments><h2>12 replies</h2><ol class='commentlist'>" + "".join(f"<li><article><p>{x}</p></article></li>" for x in THREAD) + "</ol></div>",
+        f"<div class='advert'>{paras(THREAD)}</div>",
+        f"<div class=menu>{paras(THREAD)}</div>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<article><h1>Head</h1>@</article>#", "<div><h1>Head</h1><div>@</div></div>#", "<article><h1>Head</h1>@#</article>", "<div><h1>Head</h1>@#</div>", "<div class='page menu-open'><main><h1>Head</h1>@</main>#</div>", "<div class='wrap sidebar'><div><h1>Head</h1>@</div>#</div>"])
+def test_noise_larger_than_the_article(page, thread):
+    assert main_text(FRAME.replace("@@", page.replace("@", paras(BODY)).replace("#", thread))) == " ".join(["Head", *BODY])
+
+
+def test_comments_beside_an_article_without_headline():
+    assert main_text(FRAME.replace("@@", f"<div>{paras(BODY)}</div><div id=comments><h2>Replies</h2>{paras(THREAD)}</div>")) == " ".join(BODY)
+
+
 def test_whole_table_against_the_article_element(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     extra = spark.createDataFrame([(None, None, None), (1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
