@@ -2,7 +2,8 @@
 
 A lenient parser builds the DOM (implied end tags, raw-text elements, cut-off pages).  Elements that are never
 article text (menus, forms, scripts, notices, reader comments, ...) are cut away by tag, role and class; by class or id alone at any size, unless the
-element holds the page's main body by structure.  For each node that stays, the composite text density is its characters per tag, adjusted for links:
+element holds the page's main body by structure.  Controls are cut; a form or fieldset is looked through if it
+holds the main body, two blocks of running text, or all of the page's.  For each node that stays, the composite text density is its characters per tag, adjusted for links:
 
     C/T * log(C/LC * T/LT) / log(b),  b = ln(C/nLC * LC + LCbody/Cbody * C + e) + e - 1
 
@@ -31,13 +32,14 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _BLOCK = set(
     "address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-_CUT = set("script style noscript template nav footer aside form iframe button select textarea input svg math canvas object embed head title dialog menu fieldset video audio datalist".split())
+_CUT = set("script style noscript template nav footer aside iframe button select option optgroup datalist textarea input label output svg math canvas object embed head title dialog menu video audio".split())
 _ROLES = set("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog toolbar".split())
 _NOISE = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar comment comments commentlist reply replies respond disqus social share sharing related recommended newsletter subscribe signup login pagination pager widget skip copyright".split()
 )
 #: Tags that are nodes of the density tree: blocks and links.
 _NODES = (_BLOCK - {"br", "hr"}) | {"a"}
+_FORMS = {"form", "fieldset"}
 #: Characters from which a block's own text is running text.
 _RUNNING = 60
 _KEEP = {"html", "body", "article", "main"}
@@ -115,9 +117,10 @@ def parse(source: str) -> Node:
 
 
 def _is_noise(node: Node) -> int:
-    """2: never text; 1: by its names, unless it holds the page's main body; 0: not."""
+    """2: never text; 1: by its names, unless it holds the page's main body; 3: a form, unless it holds running text; 0: not."""
     if node.tag in _CUT:
         return 2
+    kind = 3 * (node.tag in _FORMS)
     if node.tag == "header":  # of the page, not of an article
         up = node.up
         while up is not None:
@@ -126,7 +129,7 @@ def _is_noise(node: Node) -> int:
             up = up.up
         return 2
     if not node.attrs or node.tag in _KEEP:
-        return 0
+        return kind
     names: set[str] = set()
     for k, v in _attributes(node):
         if k in ("class", "id"):
@@ -135,7 +138,7 @@ def _is_noise(node: Node) -> int:
             return 2
         elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
             return 2
-    return int(not names.isdisjoint(_NOISE))
+    return kind if names.isdisjoint(_NOISE) else 1
 
 
 def _attributes(node: Node) -> list[tuple[str, str]]:
@@ -177,7 +180,7 @@ def _structure(order: list[Node]) -> None:
         for c in x.items:
             if isinstance(c, str):
                 x.own += len(c) - c.count(" ") - c.count("\n")
-            elif not c.noise:
+            elif c.noise in (0, 3):
                 if c.tag not in _NODES:
                     x.own += c.own
                 x.running += c.running
@@ -202,7 +205,7 @@ def _measure(root: Node) -> list[Node]:
         x = todo.pop()
         x.noise = _is_noise(x)
         order.append(x)
-        if x.noise < 2:
+        if x.noise != 2:
             todo.extend(c for c in reversed(x.items) if isinstance(c, Node))
     _count(order)
     return order
@@ -250,13 +253,16 @@ def _density(x: Node, linked: float) -> float:
 def main_text(source: str) -> str:
     root = parse(source)
     order = _measure(root)
-    # by names alone, a node that holds the main body isn't cut
-    named = [x for x in order if x.noise == 1]
-    if named:
+    # by names alone, a node that holds the main body isn't cut; nor is a form around the text
+    doubtful = [x for x in order if x.noise in (1, 3)]
+    if doubtful:
         _structure(order)
         elsewhere = root.holds
-        for x in named:
-            x.noise = 0 if x.holds and not elsewhere and not _in_article(x) else 2
+        for x in doubtful:
+            if x.noise == 1:
+                x.noise = 0 if x.holds and not elsewhere and not _in_article(x) else 2
+            else:
+                x.noise = 0 if x.holds or x.running >= 2 or (x.running and x.running == root.running) else 2
         _count(order)
     body = next((x for x in order if x.tag == "body" and x.noise != 2), root)
     if not body.chars:

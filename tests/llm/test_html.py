@@ -67,6 +67,27 @@ def test_comments_beside_an_article_without_headline():
     assert main_text(FRAME.replace("@@", f"<div>{paras(BODY)}</div><div id=comments><h2>Replies</h2>{paras(THREAD)}</div>")) == " ".join(BODY)
 
 
+CONTROLS = "<div><label>Your name</label><input name=a><select><option>One<option>Two</select><textarea>old</textarea><button>Send</button></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id='aspnetForm' action=x><input type=hidden><div><h1>Head</h1>{paras(BODY)}</div>{CONTROLS}</form>",
+        f"<form id='aspnetForm'><fieldset><article><h1>Head</h1>{paras(BODY)}</article></fieldset>{CONTROLS}</form>",
+        f"<form id='aspnetForm'><article><h1>Head</h1>{paras(BODY)}<div class=comments><p>{P % 7}</p></div></article></form>",
+        f"<article><h1>Head</h1>{paras(BODY)}<form><p>Your address is not published.</p>{CONTROLS}</form></article>",
+        f"<article><h1>Head</h1>{paras(BODY)}</article><form><fieldset><p>{P % 8}</p>{CONTROLS}</fieldset></form>",
+    ],
+)
+def test_forms(page):
+    assert main_text(FRAME.replace("@@", page)) == " ".join(["Head", *BODY])
+
+
+def test_form_around_one_paragraph():
+    assert main_text(f"<body><form id='aspnetForm'><p>{P % 1}</p>{CONTROLS}</form></body>") == P % 1
+
+
 def test_whole_table_against_the_article_element(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     extra = spark.createDataFrame([(None, None, None), (1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
