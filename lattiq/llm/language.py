@@ -1,7 +1,7 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels each word.
 
 A word (a run of letters) scores for each language by the log-probabilities of its byte trigrams; languages
-whose training text doesn't use the word's scripts are out.  Viterbi over the words, with a penalty for each
+whose training text doesn't use the word's scripts are out (scripts that aren't listed share one bit).  Viterbi over the words, with a penalty for each
 switch, labels spans of mixed-language text.  Texts are cut into segments only for speed: a segment's
 transfer matrix (best score from each state before it to each state at its end) makes the result that of
 one walk over the whole text.
@@ -40,9 +40,13 @@ SCRIPTS = (
     ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),  # Han
 )
 
+#: The bit of letters of all other scripts, exact by code point.
+OTHER = len(SCRIPTS)
+KINDS = OTHER + 1
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(lower-casing word bytes or 0, script bits by the first two bytes of a character)."""
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-casing word bytes or 0, script bits by the first two bytes of a character, code points that are letters of no listed script)."""
     low = np.zeros(256, np.uint8)
     low[128:] = np.arange(128, 256)
     for c in range(65, 91):
@@ -57,10 +61,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                         bits[e[0] << 8 : (e[0] + 1) << 8] |= 1 << k
                     else:
                         bits[e[0] << 8 | e[1]] |= 1 << k
-    return low, bits
+    other = np.array([chr(c).isalpha() for c in range(0x110000)])
+    for ranges in SCRIPTS:
+        for a, b in ranges:
+            other[a : b + 1] = False
+    for c in np.flatnonzero(other[:0x800]).tolist():
+        e = chr(c).encode()
+        bits[e[0] << 8 | e[1]] |= 1 << OTHER
+    return low, bits, other
 
 
-_LOW, _SCRIPT = _tables()
+_LOW, _SCRIPT, _OTHER = _tables()
 
 
 class Words:
@@ -73,6 +84,15 @@ class Words:
         upper = (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)
         b[1:][upper] += 0x20
         self.scripts = _SCRIPT[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+        at = np.flatnonzero(raw[:-2] >= 0xE0)  # first bytes of characters of three and four bytes
+        if len(at):
+            c = np.zeros((4, len(at)), np.int32)
+            for k in range(4):
+                c[k] = raw[np.minimum(at + k, len(raw) - 1)]
+            three = (c[0] & 0x0F) << 12 | (c[1] & 0x3F) << 6 | c[2] & 0x3F
+            four = (c[0] & 0x07) << 18 | (c[1] & 0x3F) << 12 | (c[2] & 0x3F) << 6 | c[3] & 0x3F
+            point = np.where(c[0] < 0xF0, three, np.minimum(four, 0x10FFFF))
+            self.scripts[at[_OTHER[point]]] |= np.uint16(1 << OTHER)
         inside = b[:-1] > 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -87,7 +107,7 @@ class Words:
             # characters, for weights: bytes that don't continue a character
             lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             self.letters = lead[self.ends] - lead[self.starts]
-            some = self.bits > 0  # a run without any known letter is no word
+            some = self.bits > 0  # a run without any letter is no word
             self.keep = np.flatnonzero(some)
         else:
             self.bits, self.letters, self.keep = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -99,11 +119,11 @@ def _count(batches):
         langs = np.array(b.column("lang").to_pylist(), object)
         for lang in sorted(set(langs.tolist())):
             own = [t for t, x in zip(texts, langs) if x == lang]
-            grams, scripts = np.zeros(BUCKETS + 1, np.int64), np.zeros(len(SCRIPTS), np.int64)
+            grams, scripts = np.zeros(BUCKETS + 1, np.int64), np.zeros(KINDS, np.int64)
             for s, e in by_bytes(own):
                 w = Words(own[s:e])
                 grams += np.bincount(w.codes, minlength=BUCKETS + 1)
-                scripts += [(int(((w.scripts >> k) & 1).sum())) for k in range(len(SCRIPTS))]
+                scripts += [(int(((w.scripts >> k) & 1).sum())) for k in range(KINDS)]
             at = np.flatnonzero(grams[:BUCKETS])
             sc = np.flatnonzero(scripts)
             keys = np.concatenate([at, -1 - sc])
@@ -121,10 +141,11 @@ class Model:
             self.logp[:, :BUCKETS] = np.log(p / p.sum(axis=1, keepdims=True))
             self.logp[:, :BUCKETS] -= self.logp[:, :BUCKETS].max(axis=0)  # only differences count
         uses = scripts > 0.005 * np.maximum(1, scripts.sum(axis=1, keepdims=True))
-        own = (uses * (1 << np.arange(len(SCRIPTS)))).sum(axis=1) if langs else np.zeros(0, np.int64)
-        sets = np.arange(1 << len(SCRIPTS))[:, None]
+        own = (uses * (1 << np.arange(KINDS))).sum(axis=1) if langs else np.zeros(0, np.int64)
+        sets = np.arange(1 << KINDS)[:, None]
         whole, part = (sets & own) == sets, (sets & own) > 0
         ok = np.where(whole.any(axis=1, keepdims=True), whole, np.where(part.any(axis=1, keepdims=True), part, True)) if langs else np.zeros((len(sets), 0), bool)
+        self.known = part.any(axis=1)  # sets of scripts of which any language uses one
         self.rule = np.where(ok, np.float32(0), _OUT)
 
 
@@ -133,14 +154,14 @@ def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
-        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS))))
+        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, KINDS)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 20, rows_a_language * (1 << 20) // n))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")])
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()  # at most (BUCKETS + scripts) rows a language
     langs = sorted(set(counts.column("lang").to_pylist()))
     row = np.array([langs.index(x) for x in counts.column("lang").to_pylist()], np.int64)
     key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
-    grams, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(SCRIPTS)))
+    grams, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), KINDS))
     grams[row[key >= 0], key[key >= 0]] = n[key >= 0]
     scripts[row[key < 0], -1 - key[key < 0]] = n[key < 0]
     return Model(langs, grams, scripts)
@@ -221,10 +242,6 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float, segment: int =
     return labels
 
 
-def _letters(text: bytes) -> bool:
-    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
-
-
 def label_texts(texts: list[bytes], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, share of letters with it, spans (first byte, byte after the last, language)) of each text."""
     w = Words(texts)
@@ -233,26 +250,24 @@ def label_texts(texts: list[bytes], model: Model, switch: float = SWITCH) -> lis
     if not m:
         return out
     keep = w.keep
-    share = np.zeros((n, m))
+    share, total = np.zeros((n, m)), np.zeros(n)
     spans: list[list] = [[] for _ in range(n)]
     if len(keep):
         begins = w.starts
         scores = np.stack([np.add.reduceat(model.logp[x][w.codes], begins) for x in range(m)], axis=1)[keep] + model.rule[w.bits[keep]]
         text = w.text[keep]
         labels = viterbi(scores.astype(np.float32), np.bincount(text, minlength=n), switch)
-        np.add.at(share, (text, labels), w.letters[keep])
+        np.add.at(share, (text, labels), np.where(model.known[w.bits[keep]], w.letters[keep], 0))
+        np.add.at(total, text, w.letters[keep])
         change = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
         until = np.append(change[1:], len(labels)) - 1
         base = w.first[text[change]]
         for i, a, b, x in zip(text[change].tolist(), (begins[keep][change] - base).tolist(), (w.ends[keep][until] - base).tolist(), labels[change].tolist()):
             spans[i].append((a, b, model.langs[x]))
-    total = share.sum(axis=1)
     for i in range(n):
         if total[i]:
             k = int(share[i].argmax())
             out[i] = (model.langs[k], float(share[i, k] / total[i]), spans[i])
-        elif _letters(texts[i]):  # letters of no listed script: nothing to choose by
-            out[i] = (model.langs[0], 0.0, [])
     return out
 
 
@@ -281,8 +296,8 @@ SPANS = "array<struct<from:bigint,to:bigint,lang:string>>"
 def detect(documents: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score, spans for each row: the language of most letters, its share of them, and labelled byte ranges.
 
-    ``und`` (score 0, no spans) for a null text, one without a letter, or a model without languages; letters
-    of no listed script alone give the first language with score 0.  Ties go to the first language in
+    ``und`` (score 0, no spans) for a null text, one without a letter, or a model without languages; words
+    in scripts that no language of the model uses count among the letters only.  Ties go to the first language in
     alphabetical order; repeated rows are labelled each; other columns are ignored; no rows give no rows.
     """
     schema = T.StructType([documents.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *T._parse_datatype_string(f"spans {SPANS}").fields])

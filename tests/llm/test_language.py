@@ -59,3 +59,21 @@ def test_edges_and_mixed_text(spark, model):
 def test_no_labelled_rows(spark):
     empty = train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert detect(spark.createDataFrame([(1, "words")], "doc_id long, text string"), empty).first().lang_pred == "und"
+
+
+SCRIPTLESS = {"am": "ሰላም ለዓለም ሁሉ ይሁን እንዴት ነህ ደህና ነኝ", "km": "សួស្តី ពិភពលោក តើ អ្នក សុខសប្បាយ ទេ", "my": "မင်္ဂလာပါ ကမ္ဘာ နေကောင်းလား ကျေးဇူးတင်ပါတယ်", "bo": "བཀྲ་ཤིས་བདེ་ལེགས། ཁྱེད་རང་", "chr": "ᎣᏏᏲ ᎡᎶᎯ ᏙᎯᏧ", "got": "𐌰𐌱𐌲𐌳 𐌴𐌵𐌶𐌷", "dv": "ދިވެހި ބަސް", "en": "hello world how are you"}
+
+
+def test_scripts_that_are_not_listed(spark):
+    rows = [(i, t, k) for k, t in SCRIPTLESS.items() for i in range(3)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(SCRIPTLESS)
+    got = detect(spark.createDataFrame([(i, t) for i, t in enumerate(SCRIPTLESS.values())], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == list(SCRIPTLESS) and all(r.score == 1 for r in got)
+    signs = detect(spark.createDataFrame([(1, "— … € 😀 12"), (2, "😀")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in signs] == ["und", "und"]
+
+
+def test_script_of_no_language_has_no_share(spark, model):
+    got = detect(spark.createDataFrame([(1, SCRIPTLESS["km"]), (2, SCRIPTLESS["en"])], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in sorted(got, key=lambda r: r.doc_id)][0] == (model.langs[0], 0.0) and max(r.score for r in got) > 0.3
