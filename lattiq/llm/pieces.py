@@ -53,6 +53,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
         self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.text)]
+        self.sizes = np.array([len(p) for p in self.plain])
         low = [s for s, _ in self.score.values() if s > -1e8]  # symbols that only carry characters have no rank
         self.byte_score = min(low) - PENALTY
         self.score = {p: (max(s, self.byte_score + PENALTY), i) for p, (s, i) in self.score.items()}
@@ -195,14 +196,15 @@ class Pieces:
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty."""
-        return [(score, ids.tolist()) for score, ids in self.paths(text)]
+        return [(score, ids.tolist()) for score, ids, _ in self.paths(text)]
 
-    def paths(self, text: str) -> Iterator[tuple[float, np.ndarray]]:
-        """(score, ids) of the best segmentations in falling order, each built when it is asked for."""
+    def paths(self, text: str) -> Iterator[tuple[float, np.ndarray, bytes]]:
+        """(score, ids, the bytes of all ids) of the best segmentations in falling order, each built when it is asked for."""
         total, ids, leads, parts, ends = self.best_path(text)
-        yield total, ids
+        data = self.joined(ids.tolist())
+        yield total, ids, data
         if self.best > 1 and parts:
-            yield from self.others(total, ids, leads, parts, ends)
+            yield from self.others(total, ids, data, leads, parts, ends)
 
     def best_path(self, text: str) -> tuple[float, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """(score, ids, the units' leads, the units, where each one's ids end) of a text's best segmentation."""
@@ -223,23 +225,26 @@ class Pieces:
         ids = np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]
         return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], parts, ends
 
-    def others(self, total: float, ids: np.ndarray, leads: np.ndarray, parts: list[str], ends: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    def others(self, total: float, ids: np.ndarray, data: bytes, leads: np.ndarray, parts: list[str], ends: np.ndarray) -> Iterator[tuple[float, np.ndarray, bytes]]:
         """The segmentations after the best one, from the units of least lead (of equal leads, the first in the text)."""
         wanted = self.best - 1
         near = np.flatnonzero(leads <= np.partition(leads, min(wanted, len(leads)) - 1)[min(wanted, len(leads)) - 1])
         near = near[np.argsort(leads[near], kind="stable")][:wanted]
         gaps = [(float(leads[k]), int(k)) for k in near if leads[k] < inf]
         found_of = {k: self.search(parts[k], self.best) for _, k in gaps}
+        byte = np.concatenate([[0], np.cumsum(self.sizes[ids])])  # where each id's bytes begin
         made = 0
         # least sums: a state changes some of these units; a step worsens its last one or brings in a later one
         heap = [(g, ((k, 1),), 0) for g, k in gaps[:1]]
         while heap and made < wanted:
             gap, change, x = heappop(heap)
-            spliced, at = [], 0
+            spliced, joined, at = [], [], 0
             for k, j in sorted(change):
-                spliced += [ids[at : ends[k - 1] if k else 0], np.array(found_of[k][j][1], np.int32)]
+                own, begin = found_of[k][j][1], ends[k - 1] if k else 0
+                spliced += [ids[at:begin], np.array(own, np.int32)]
+                joined += [data[byte[at] : byte[begin]], self.joined(own)]
                 at = ends[k]
-            yield total - gap, np.concatenate([*spliced, ids[at:]])
+            yield total - gap, np.concatenate([*spliced, ids[at:]]), b"".join([*joined, data[byte[at] :]])
             made += 1
             k, j = change[-1]
             found = found_of[k]
@@ -251,8 +256,15 @@ class Pieces:
                 if j == 1:
                     heappush(heap, (gap - gaps[x][0] + g, (*change[:-1], (later, 1)), x + 1))
 
+    def joined(self, ids: list[int] | tuple[int, ...]) -> bytes:
+        return b"".join(map(self.plain.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return self.plain_text(self.joined(ids))
+
+    @staticmethod
+    def plain_text(data: bytes) -> str:
+        text = data.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -270,9 +282,9 @@ def _encode(path: str, best: int, keep: str):
                 for t in texts[s:e]:
                     text = t.decode("utf-8", "replace")
                     sums, digests, held = [], [], []
-                    for score, ids in model.paths(text):
+                    for score, ids, data in model.paths(text):
                         sums.append(score)
-                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "round_trip": model.decode(ids.tolist()) == text})
+                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4", copy=False).tobytes()), "round_trip": model.plain_text(data) == text})
                         if keep == "all" or (keep == "first" and not held):
                             held.append(ids)
                     scores.append(sums)

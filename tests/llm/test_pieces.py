@@ -74,3 +74,8 @@ def test_query_builds_every_path(spark):
         crcs = [zlib.crc32(np.array(i, "<u4").tobytes()) for _, i in want]
         assert r.n_best == len(want) and r.nbest_ids_crc32 == ",".join(map(str, crcs)) and len(set(crcs)) == len(crcs)
         assert r.nbest_n_pieces == ",".join(str(len(i)) for _, i in want) and r.nbest_round_trip == ",".join(["true"] * len(want))
+
+
+def test_bytes_of_each_path_are_those_of_its_ids(spark, model):
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").limit(40).collect()] + ["", "né ☃x", "a,b. c"]
+    assert all(data == model.joined(ids.tolist()) for t in texts for _, ids, data in model.paths(t))
