@@ -1,22 +1,29 @@
 """Main text of web pages by composite text density.
 
-A lenient parser builds the DOM (implied end tags, raw-text elements, cut-off pages).  Elements that are never
-article text (menus, forms, scripts, notices, reader comments, ...) are cut away by tag, role and class; by class or id alone at any size, unless the
-element holds the page's main body by structure.  Controls are cut; a form or fieldset is looked through if it
-holds the main body, two blocks of running text, or all of the page's.  For each node that stays, the composite text density is its characters per tag, adjusted for links:
-
-    C/T * log(C/LC * T/LT) / log(b),  b = ln(C/nLC * LC + LCbody/Cbody * C + e) + e - 1
-
-with C characters, T tags, LC characters and LT tags of links, nLC characters outside links.  A node's density
-sum adds up its children's densities.  The threshold is the least density on the path from the node of the
-greatest density sum up to the body; under each node that reaches it, the subtree of the greatest density sum
-is content.
+A lenient parser builds the DOM (implied end tags, raw-text elements, cut-off pages).  What never is running text
+by its tag, role or style (menus, scripts, controls, hidden parts, ...) is cut; a form or fieldset is looked through
+if it holds the main body, two blocks of running text, or all of the page's.  For each node that stays, the composite
+text density is its characters per tag, adjusted for links:
+
+    w * C/T * log(C/LC * T/LT) / log(b),  b = ln(C/nLC * LC + LCbody/Cbody * C + e) + e - 1
+
+with C characters, T tags, LC characters and LT tags of links, nLC characters outside links.  The weight w is 0 in
+what is a menu, advert, notice or reader comment by its names, and in threads of replies by their structure (like
+items with a byline or a reply link each), unless it holds the page's main body by structure; else it is 1.
+
+A node's density sum adds up its children's densities; the node of the greatest sum is chosen.  The threshold is the
+least density on the path from it up to the body.  Content is: under each node that reaches the threshold, the
+subtree of the greatest sum; the ancestors of the chosen node below the body as long as at least half of their
+weighed text is content (so that short paragraphs and headlines beside it stay); a headline before it.  Inside
+content a container goes only if its density is less than LEAST of what the same text would have without links
+and names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from math import e, log
 
 import pyarrow as pa
@@ -34,9 +41,21 @@ _BLOCK = set(
 )
 _CUT = set("script style noscript template nav footer aside iframe button select option optgroup datalist textarea input label output svg math canvas object embed head title dialog menu video audio".split())
 _ROLES = set("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog toolbar".split())
+#: Names of what isn't article text.  A class or id counts if all its words are such names or say nothing of the content.
 _NOISE = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar comment comments commentlist reply replies respond disqus social share sharing related recommended newsletter subscribe signup login pagination pager widget skip copyright".split()
 )
+_GENERIC = set(
+    "area bar block bottom box buttons col column container content desktop div extra fixed form global group holder inner item items left links list main mobile module ol outer page panel post posts primary right section site slot sticky sub th thread top ul unit wrap wrapper".split()
+)
+#: Words of links and buttons under a reply.
+_REPLY = set("reply antworten répondre responder report melden signaler denunciar permalink".split())
+_BYLINE = set("author byline user username nickname commenter avatar posted".split())
+_HEADLINES = {"h1", "h2", "h3"}
+#: Share of its unadjusted density below which a container inside content goes.
+LEAST = 0.1
+#: Running text, and what is never cut for its links.
+_PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre a td th tr tbody caption figcaption dt dd li body html article main".split())
 #: Tags that are nodes of the density tree: blocks and links.
 _NODES = (_BLOCK - {"br", "hr"}) | {"a"}
 _FORMS = {"form", "fieldset"}
@@ -50,7 +69,7 @@ _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "div", "section", "article", "b
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "noise", "own", "running", "headed", "holds")
+    __slots__ = ("tag", "attrs", "items", "chars", "tags", "link_chars", "link_tags", "weight", "density", "total", "up", "noise", "own", "running", "headed", "holds")
 
     def __init__(self, tag: str, attrs: str = "", up: Node | None = None):
         self.tag, self.attrs, self.up, self.items = tag, attrs, up, []
@@ -130,15 +149,26 @@ def _is_noise(node: Node) -> int:
         return 2
     if not node.attrs or node.tag in _KEEP:
         return kind
-    names: set[str] = set()
+    named = False
     for k, v in _attributes(node):
         if k in ("class", "id"):
-            names.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+            named = named or any(_named(x) for x in v.split())
         elif k == "role" and v.lower() in _ROLES:
             return 2
         elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
             return 2
-    return kind if names.isdisjoint(_NOISE) else 1
+    return 1 if named else kind
+
+
+@lru_cache(1 << 14)
+def _named(name: str) -> bool:
+    """Whether one class or id says that a node isn't article text: "ad-slot", "siteFooter"; not "notice-of-award"."""
+    words = _words(name)
+    return not words.isdisjoint(_NOISE) and words <= _NOISE | _GENERIC
+
+
+def _words(names: str) -> set[str]:
+    return set(re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
 
 
 def _attributes(node: Node) -> list[tuple[str, str]]:
@@ -156,8 +186,7 @@ def _is_main(node: Node) -> bool:
     if node.tag == "article":
         if node.headed:
             return True
-        names = " ".join(v for k, v in _attributes(node) if k in ("class", "id")) if node.attrs else ""
-        if not _NOISE.isdisjoint(re.findall(r"[a-z]+", names.lower())):
+        if node.attrs and any(_named(x) for k, v in _attributes(node) if k in ("class", "id") for x in v.split()):
             return False
         up = node.up
         while up is not None and up.tag not in ("li", "ol", "ul", "article"):
@@ -242,31 +271,56 @@ def _children(x: Node) -> list[Node]:
     return out
 
 
-def _density(x: Node, linked: float) -> float:
-    if not x.chars:
+def _density(x: Node, linked: float, adjusted: bool = True) -> float:
+    """Composite text density; not adjusted: as if without links and names."""
+    if not x.chars or (adjusted and not x.weight):
         return 0.0
+    links, link_tags = (x.link_chars, x.link_tags) if adjusted else (0, 0)
     tags = max(1, x.tags)
-    base = log(log(x.chars / max(1, x.chars - x.link_chars) * x.link_chars + linked * x.chars + e) + e - 1)
-    return x.chars / tags * log(max(1.0, x.chars / max(1, x.link_chars) * tags / max(1, x.link_tags))) / base
+    base = log(log(x.chars / max(1, x.chars - links) * links + linked * x.chars + e) + e - 1)
+    return x.chars / tags * log(max(1.0, x.chars / max(1, links) * tags / max(1, link_tags))) / base
 
 
-def main_text(source: str) -> str:
-    root = parse(source)
-    order = _measure(root)
-    # by names alone, a node that holds the main body isn't cut; nor is a form around the text
-    doubtful = [x for x in order if x.noise in (1, 3)]
-    if doubtful:
-        _structure(order)
-        elsewhere = root.holds
-        for x in doubtful:
-            if x.noise == 1:
-                x.noise = 0 if x.holds and not elsewhere and not _in_article(x) else 2
-            else:
-                x.noise = 0 if x.holds or x.running >= 2 or (x.running and x.running == root.running) else 2
-        _count(order)
-    body = next((x for x in order if x.tag == "body" and x.noise != 2), root)
-    if not body.chars:
-        return ""
+def _is_reply(x: Node) -> bool:
+    """Whether a node has the byline or the controls of a reply, and no headline."""
+    todo, found = [x], False
+    while todo:
+        c = todo.pop()
+        if c.tag in _HEADLINES:
+            return False
+        found = found or c.tag in ("time", "cite") or (bool(c.attrs) and any(not _BYLINE.isdisjoint(_words(v)) for k, v in _attributes(c) if k in ("class", "rel", "itemprop")))
+        if not found and c.tag in ("a", "button"):
+            found = any(isinstance(t, str) and _words(t) and _words(t) <= _REPLY for t in c.items)
+        todo.extend(t for t in c.items if isinstance(t, Node))
+    return found
+
+
+def _is_thread(x: Node) -> bool:
+    """Whether a node's blocks are two replies or more of one kind."""
+    kinds: dict[tuple[str, str], list[Node]] = {}
+    for c in x.items:
+        if isinstance(c, Node) and c.tag in ("li", "div", "article", "section", "dd", "blockquote", "tr") and c.noise in (0, 1) and c.chars:
+            name = " ".join(sorted(v for k, v in _attributes(c) if k == "class")) if c.attrs else ""
+            kinds.setdefault((c.tag, name), []).append(c)
+    return any(len(k) > 1 and all(map(_is_reply, k)) for k in kinds.values())
+
+
+def _weigh(body: Node, order: list[Node]) -> None:
+    """Weights: 0 in named nodes and threads, else 1; where nothing else has text, threads count as text."""
+    for by_thread in (True, False):
+        left = 0
+        for x in order:
+            x.weight = int(x is body or x.up is None or x.up.weight) if x.noise not in (1, 2) else 0
+            if x.weight and by_thread and x is not body and not x.holds and _is_thread(x):
+                x.weight = 0
+            if x.weight:
+                left += sum(len(c) - c.count(" ") - c.count("\n") for c in x.items if isinstance(c, str))
+        if left:
+            return
+
+
+def _content(body: Node) -> set[int]:
+    """Marks of the nodes whose subtrees are content."""
     linked = body.link_chars / body.chars
     live, kids, todo = [], {}, [body]
     while todo:
@@ -289,15 +343,51 @@ def main_text(source: str) -> str:
     threshold = min(x.density for x in path)
     marked = {id(best[id(x)]) for x in live if x.density >= threshold and x.chars}
     marked.add(id(top))
-    # the article around the chosen subtree, and headlines that stand before it
-    marked.update(id(x) for x in path if x.tag == "article" or (x.tag == "main" and not any(y.tag == "article" for y in path)))
+    # ancestors that are content for the most part
+    held: dict[int, int] = {}
+    text: dict[int, int] = {}
+    for x in reversed(live):
+        own = x.chars - sum(c.chars for c in kids[id(x)])
+        text[id(x)] = (own + sum(text[id(c)] for c in kids[id(x)])) if _density(x, linked) else 0
+        held[id(x)] = text[id(x)] if id(x) in marked else own + sum(held[id(c)] for c in kids[id(x)])
     for x in path:
+        if x is body or 2 * held[id(x)] < text[id(x)]:
+            break
+        marked.add(id(x))
+    for x in path:  # a headline before the chosen subtree
         if x.up is not None and x is not body:
             for c in kids.get(id(x.up), ()):
                 if c is x:
                     break
                 if c.tag == "h1":
                     marked.add(id(c))
+    for x in live:  # menus and adverts inside
+        if x.tag not in _PROSE and x.density < LEAST * _density(x, linked, False):
+            x.noise = 2
+    return marked
+
+
+def main_text(source: str) -> str:
+    root = parse(source)
+    order = _measure(root)
+    # a node that holds the main body keeps its weight whatever its names; so does a form around the text
+    for x in order:
+        x.holds = False
+    doubtful = [x for x in order if x.noise in (1, 3)]
+    if doubtful:
+        _structure(order)
+        elsewhere = root.holds
+        for x in doubtful:
+            if x.noise == 1:
+                x.noise = 0 if x.holds and not elsewhere and not _in_article(x) else 1
+            else:
+                x.noise = 0 if x.holds or x.running >= 2 or (x.running and x.running == root.running) else 2
+        _count(order)
+    body = next((x for x in order if x.tag == "body" and x.noise != 2), root)
+    if not body.chars:
+        return ""
+    _weigh(body, order)
+    marked = _content(body)
     out: list[str] = []
 
     def walk(x: Node, inside: bool) -> None:

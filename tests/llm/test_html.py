@@ -1,8 +1,12 @@
 import html
+import math
+import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
+from lattiq.llm import html as H
 from lattiq.llm.common import table
 from lattiq.llm.html import main_text, main_texts
 
@@ -100,3 +104,56 @@ def test_whole_table_against_the_article_element(spark):
         want.append((str(r.page_id), a, len(a)))
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted(want)
     assert main_texts(extra.limit(0)).count() == 0
+
+
+SECTIONS = f"<section class='notice-of-award'><h2>Award</h2><p>{P % 11}</p></section><div class='related-work'><p>Short.</p></div>"
+TALK = "".join(f"<div class=talkback><span class=author>Reader {i}</span><p>{THREAD[i]}</p><a href=#>Reply</a></div>" for i in range(6))
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Another story of the day {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><h1>Head</h1>{paras(BODY)}{SECTIONS}</article>",
+        f"<div><h1>Head</h1>{paras(BODY)}{SECTIONS}</div>",
+        f"<article><h1>Head</h1>{paras(BODY)}{SECTIONS}</article><div>{TALK}</div>",
+        f"<article><h1>Head</h1>{paras(BODY)}{SECTIONS}<div>{TALK}</div></article>",
+        f"<div><h1>Head</h1>{paras(BODY)}{LINKS}{SECTIONS}</div>{LINKS}",
+        f"<div><p>Short text.</p></div><div><h1>Head</h1>{paras(BODY)}{SECTIONS}</div><div>Buy now, it is cheap.</div>",
+    ],
+)
+def test_nothing_else_is_dropped(page):
+    assert main_text(FRAME.replace("@@", page)) == " ".join(["Head", *BODY, "Award", P % 11, "Short."])
+
+
+def test_words_of_names():
+    assert [H._named(x) for x in ("ad", "ad-slot", "siteFooter", "page_sidebar", "commentlist", "notice-of-award", "related-work", "address", "header-text", "post", "")] == [True] * 5 + [False] * 6
+
+
+def test_density_against_the_formula():
+    """Characters, tags and link counts counted again by regular expressions from each element's source."""
+    page = f"<body><div id=a><p>{P % 1}</p><p>{P % 2} <a href=x>a link of it</a></p></div><div id=b><ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(5)) + "</ul></div></body>"
+    root = H.parse(page)
+    order = H._measure(root)
+    sources = {"body": page[6:-7], "a": page[page.index("<div id=a>") + 10 : page.index("</div>")], "b": page[page.index("<div id=b>") + 10 : page.rindex("</div>")]}
+    count = lambda s: len(re.sub(r"<[^>]*>|\s", "", s))
+    whole = sources["body"]
+    linked = sum(map(count, re.findall(r"<a .*?</a>", whole))) / count(whole)
+    for x in order:
+        x.weight = 1
+        name = "body" if x.tag == "body" else x.attrs.strip()[3:] if x.tag == "div" else None
+        if name:
+            s = sources[name]
+            c, t, lc, lt = count(s), len(re.findall(r"<[a-z]", s)), sum(map(count, re.findall(r"<a .*?</a>", s))), len(re.findall("<a ", s))
+            want = c / t * math.log(c / lc * t / lt) / math.log(math.log(c / max(1, c - lc) * lc + linked * c + math.e) + math.e - 1)
+            assert H._density(x, linked) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_density_decides(monkeypatch, constant):
+    """Densities of any other kind give another text on most pages of a table."""
+    rng = random.Random(1)
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    before = [main_text(x) for x in pages]
+    monkeypatch.setattr(H, "_density", lambda *_: 1.0 if constant else rng.random())
+    assert sum(main_text(x) != y for x, y in zip(pages, before)) > len(pages) * (0.9 if constant else 0.3)
