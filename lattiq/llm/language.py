@@ -1,7 +1,7 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels each word.
 
 A word (a run of letters) scores for each language by the log-probabilities of its byte trigrams; languages
-whose training text doesn't use the word's scripts are out (scripts that aren't listed share one bit).  Viterbi over the words, with a penalty for each
+whose training text doesn't use the word's scripts, by code point, are out (scripts that aren't listed share one bit).  Viterbi over the words, with a penalty for each
 switch, labels spans of mixed-language text.  Texts are cut into segments only for speed: a segment's
 transfer matrix (best score from each state before it to each state at its end) makes the result that of
 one walk over the whole text.
@@ -24,7 +24,8 @@ ROWS_A_LANGUAGE = 4000
 SWITCH = 9.0
 BUCKETS = 1 << 15
 SEGMENT = 512
-_OUT = np.float32(-25.0)
+#: Score of a word in a language whose scripts it isn't in: beyond what trigrams or switches can make up for.
+_OUT = np.float32(-10_000.0)
 #: Unicode ranges of scripts, from first to last code point; each script is a bit.
 SCRIPTS = (
     ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),  # Latin
@@ -46,32 +47,27 @@ KINDS = OTHER + 1
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-casing word bytes or 0, script bits by the first two bytes of a character, code points that are letters of no listed script)."""
+    """(lower-casing word bytes or 0, script bits by the two bytes of a character of one or two, script bits by code point)."""
     low = np.zeros(256, np.uint8)
     low[128:] = np.arange(128, 256)
     for c in range(65, 91):
         low[c] = low[c + 32] = c + 32
-    bits = np.zeros(65536, np.uint16)
+    letters = np.array([chr(c).isalpha() for c in range(0x110000)])
+    points = np.where(letters, np.uint16(1 << OTHER), np.uint16(0))
     for k, ranges in enumerate(SCRIPTS):
         for a, b in ranges:
-            for c in range(a, b + 1):
-                if chr(c).isalpha():
-                    e = chr(c).encode("utf-8", "surrogatepass")
-                    if len(e) == 1:
-                        bits[e[0] << 8 : (e[0] + 1) << 8] |= 1 << k
-                    else:
-                        bits[e[0] << 8 | e[1]] |= 1 << k
-    other = np.array([chr(c).isalpha() for c in range(0x110000)])
-    for ranges in SCRIPTS:
-        for a, b in ranges:
-            other[a : b + 1] = False
-    for c in np.flatnonzero(other[:0x800]).tolist():
+            points[a : b + 1] = np.where(letters[a : b + 1], np.uint16(1 << k), np.uint16(0))
+    bits = np.zeros(65536, np.uint16)
+    for c in range(0x800):
         e = chr(c).encode()
-        bits[e[0] << 8 | e[1]] |= 1 << OTHER
-    return low, bits, other
+        if len(e) == 1:
+            bits[e[0] << 8 : (e[0] + 1) << 8] = points[c]
+        else:
+            bits[e[0] << 8 | e[1]] = points[c]
+    return low, bits, points
 
 
-_LOW, _SCRIPT, _OTHER = _tables()
+_LOW, _SCRIPT, _POINTS = _tables()
 
 
 class Words:
@@ -92,7 +88,7 @@ class Words:
             three = (c[0] & 0x0F) << 12 | (c[1] & 0x3F) << 6 | c[2] & 0x3F
             four = (c[0] & 0x07) << 18 | (c[1] & 0x3F) << 12 | (c[2] & 0x3F) << 6 | c[3] & 0x3F
             point = np.where(c[0] < 0xF0, three, np.minimum(four, 0x10FFFF))
-            self.scripts[at[_OTHER[point]]] |= np.uint16(1 << OTHER)
+            self.scripts[at] = _POINTS[point]
         inside = b[:-1] > 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

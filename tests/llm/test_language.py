@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import table
-from lattiq.llm.language import detect, fold, train, viterbi
+from lattiq.llm.language import OTHER, SCRIPTS, SWITCH, detect, fold, train, viterbi
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +79,58 @@ def test_scripts_that_are_not_listed(spark):
 def test_script_of_no_language_has_no_share(spark, model):
     got = detect(spark.createDataFrame([(1, SCRIPTLESS["km"]), (2, SCRIPTLESS["en"])], "doc_id long, text string"), model).collect()
     assert [(r.lang_pred, r.score) for r in sorted(got, key=lambda r: r.doc_id)][0] == (model.langs[0], 0.0) and max(r.score for r in got) > 0.3
+
+
+@pytest.mark.parametrize("text", ["฿", "・・・", "१२३", "٣٤", "๔๒", "़", "〇 ー"[:1]])
+def test_signs_and_digits_of_scripts_are_no_letters(spark, model, text):
+    assert (not any(c.isalpha() for c in text)) == (detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().lang_pred == "und")
+
+
+def test_scripts_rule_languages_out(spark):
+    rows = [(1, "привет мир как дела сегодня", "ru"), (2, "hello world how are you today", "en")] * 3
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = "мир" * 3 + "цщъыэюяжзф" * 40  # seen in no training text, so that every trigram is as unlikely
+    got = detect(spark.createDataFrame([(1, long + " hello " + long)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "ru" and [s.lang for s in got.spans] == ["ru", "en", "ru"]
+
+
+def brute(text, model, switch):
+    """One word, one language and one step at a time: (language, share of letters, 'und' where there are none)."""
+    data = (text or "").encode()
+    low = lambda i: data[i] + 32 if 65 <= data[i] <= 90 or (0x80 <= data[i] <= 0x9E and data[i] != 0x97 and i and data[i - 1] == 0xC3) else data[i]
+    at = lambda i: low(i) if 0 <= i < len(data) and (data[i] >= 128 or chr(data[i]).isalpha()) else 0
+    scores, sizes, known = [], [], []
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+", data):
+        word = m[0].decode()
+        kinds = {next((k for k, rs in enumerate(SCRIPTS) if any(a <= ord(c) <= b for a, b in rs)), OTHER) for c in word if c.isalpha()}
+        if not kinds:
+            continue
+        grams = [((at(i - 1) << 16 | at(i) << 8 | at(i + 1)) * 0x9E3779B1 % (1 << 32)) >> 17 for i in range(m.start(), m.end())]
+        bits = sum(1 << k for k in kinds)
+        scores.append([sum(float(model.logp[x][g]) for g in grams) + float(model.rule[bits][x]) for x in range(len(model.langs))])
+        sizes.append(len(word))
+        known.append(bool(model.known[bits]))
+    if not scores:
+        return "und", 0.0
+    v, back = list(scores[0]), []
+    for s in scores[1:]:
+        top = max(range(len(v)), key=lambda x: v[x])
+        back.append([x if v[x] >= v[top] - switch else top for x in range(len(v))])
+        v = [max(v[x], v[top] - switch) + s[x] for x in range(len(v))]
+    x = max(range(len(v)), key=lambda x: v[x])
+    labels = [x]
+    for b in reversed(back):
+        labels.append(x := b[x])
+    labels.reverse()
+    share = [sum(n for n, y, k in zip(sizes, labels, known) if y == x and k) for x in range(len(v))]
+    best = max(range(len(v)), key=lambda x: share[x])
+    return model.langs[best], share[best] / sum(sizes)
+
+
+def test_whole_table_against_one_word_at_a_time(spark, model):
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").where("n_chars < 6000").collect()] + [(-1, None), (-2, "Ça và ÉTÉ straße Это ฿ word"), (-3, "१२३")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in detect(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert len(docs) > 100
+    for doc_id, text in docs:
+        lang, score = brute(text, model, SWITCH)
+        assert got[doc_id] == (lang, pytest.approx(score)), doc_id
