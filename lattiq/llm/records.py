@@ -10,8 +10,10 @@ stored in a payload don't weaken it.  A payload is the document's id (8 bytes),
 tokens.  Beside ``x.rec`` lies ``x.idx``: the frames' offsets as 8-byte integers, so that a reader can fetch
 any record by one seek.
 
-Documents are put in order by ranges of doc_id (boundaries from a pruned read of that column), each range
-being one shard, so a document's place among all tokens is its shard's start plus its place in the shard.
+Documents are put in order by ranges of (doc_id, digest of the text, number of the row), so that an id, or no
+id, that many rows have is cut like any other range.  The ranges are even in bytes: their bounds come from a
+sample whose rows are drawn in proportion to their bytes, so many a range whatever the size of the input.  A task writes one range
+as files of SHARD_BYTES each; a document's place among all tokens is its file's start plus its place in the file.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, filesystem, put_file, shared_dir, size_of, text_bytes, written
 
-#: Bytes of text in a shard, about.
+#: Bytes of a shard file, about; a longer record stands alone.
 SHARD_BYTES = 32 << 20
-#: Shards at most; larger inputs get larger shards.
-MOST_SHARDS = 1 << 14
+#: Bytes of text in a task where there are tasks enough for all cores; a task then writes several files.
+TASK_BYTES = 512 << 20
+#: Sampled rows for each bound of the ranges.
+SAMPLE = 32
 #: Units whose ids a Python worker keeps.
 CACHE_WORDS = 1_200_000
 _MASK = 0xA282EAD8
@@ -111,13 +116,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("an added token looks at what stands beside it; texts can't be encoded by units")
+        #: Added tokens in a text are tokens; they are found before anything is lower-cased.
+        self.added = re.compile(b"(" + b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content))) + b")") if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
+    def units(self, text: bytes) -> list[bytes]:
+        """units() of what stands between added tokens, which are units of their own."""
+        if self.added is None or not self.added.search(text):
+            return units(text)
+        out: list[bytes] = []
+        for k, part in enumerate(self.added.split(text)):
+            out += [part] if k % 2 else units(part)
+        return out
+
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -154,7 +172,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        words = [units(t) for t in texts]
+        words = [self.units(t) for t in texts]
         if len(self.place) > CACHE_WORDS:
             self.clear()
         new = list(set().union(*words).difference(self.place)) if words else []
@@ -169,69 +187,116 @@ class Encoder:
             yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - n), n)]
 
 
-def _write(path: str, folder: str, end: int):
+def _write(path: str, folder: str, end: int, shard_bytes: int):
     def run(batches):
         coder = Encoder.of(path)
-        offsets, ends = [], []
 
         def frames():
-            at = tokens = 0
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), [t or b"" for t in text_bytes(b.column("text"))]
                 for s, e in by_bytes(texts):
                     for doc_id, found in zip(ids[s:e], coder.encode(texts[s:e])):
-                        f = frame(pack(doc_id, np.append(found, np.uint32(end)), coder.width))
-                        offsets.append(at)
-                        at += len(f)
-                        tokens += len(found) + 1
-                        yield f
-            ends.append(tokens)
-
-        shard = TaskContext.get().partitionId()
-        name = f"{folder}/shard-{shard:08d}"
-        put_file(name + ".rec", frames())
-        put_file(name + ".idx", [np.array(offsets, "<u8").tobytes()])
-        if offsets:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([len(offsets)], pa.int64()), pa.array(ends, pa.int64())], ["shard", "file", "records", "tokens"])
+                        yield frame(pack(doc_id, np.append(found, np.uint32(end)), coder.width)), len(found) + 1
+
+        task, todo, part = TaskContext.get().partitionId(), frames(), 0
+        kept = next(todo, None)
+        while kept is not None:
+            offsets, at, tokens = [], 0, 0
+
+            def own():
+                nonlocal kept, at, tokens
+                while kept is not None and (not offsets or at + len(kept[0]) <= shard_bytes):
+                    f, n = kept
+                    offsets.append(at)
+                    at += len(f)
+                    tokens += n
+                    yield f
+                    kept = next(todo, None)
+
+            name = f"{folder}/shard-{task:08d}-{part:06d}"
+            put_file(name + ".rec", own())
+            put_file(name + ".idx", [np.array(offsets, "<u8").tobytes()])
+            row = [pa.array([task], pa.int64()), pa.array([part], pa.int64()), pa.array([name]), pa.array([len(offsets)], pa.int64()), pa.array([tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays(row, ["shard", "part", "file", "records", "tokens"])
+            part += 1
 
     return run
 
 
-def write_records(documents: DataFrame, tokenizer: str, folder: str, end: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encodes documents(doc_id, text), each followed by end, into shard files; returns shard, file, records, tokens.
+#: In order: whether there is an id, the id, the digest of the text, the number of the row.
+_KEYS = ("__known", "__id", "__digest", "__row")
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the keys that put rows in order; equal rows are told apart, so they may lie in many ranges."""
+    return documents.select(
+        "doc_id",
+        "text",
+        F.col("doc_id").isNotNull().cast("long").alias(_KEYS[0]),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(_KEYS[1]),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias(_KEYS[2]),
+        F.monotonically_increasing_id().alias(_KEYS[3]),
+    )
 
-    Shards follow each other in ascending doc_id; null ids come first, rows of equal id follow each other by
-    text.  A null text is encoded as an empty one; other columns are ignored; no rows give no files.  Rows of
-    one doc_id stay in one shard.
+
+def _bounds(keyed: DataFrame, size: int, ranges: int) -> np.ndarray:
+    """At most ranges - 1 rows of keys (ascending) that cut keyed into ranges of about equal bytes.
+
+    A row is sampled with a probability in proportion to its bytes; SAMPLE rows a range come to the driver, in
+    four numbers each.
+    """
+    chance = F.octet_length(F.coalesce("text", F.lit(""))) * F.lit(SAMPLE * ranges / size)
+    drawn = F.pmod(F.xxhash64(*_KEYS), F.lit(1 << 30)) < chance * F.lit(float(1 << 30))
+    sample = keyed.where(drawn).select(*_KEYS, F.greatest(chance, F.lit(1.0)).alias("__weight")).toArrow()
+    keys = np.stack([sample.column(k).to_numpy() for k in _KEYS], axis=1) if sample.num_rows else np.zeros((0, 4), np.int64)
+    order = np.lexsort(keys.T[::-1])
+    until = np.cumsum(sample.column("__weight").to_numpy()[order])
+    if not len(order):
+        return keys
+    at = np.searchsorted(until, until[-1] * np.arange(1, ranges) / ranges)
+    return np.unique(keys[order][np.minimum(at, len(order) - 1)], axis=0)
+
+
+def _of_range(bounds: np.ndarray):
+    """The column that tells a row's range: how many bounds are not above its keys."""
+    if len(bounds) <= 64:
+        cuts = [F.struct(*[F.lit(int(x)).cast("long").alias(k) for k, x in zip(_KEYS, row)]) for row in bounds]
+        return _search(F.struct(*_KEYS), cuts, 0, len(cuts)).cast("int")
+    names = list(zip(_KEYS, bounds.T.tolist()))
+    edges = np.rec.fromarrays([np.array(x, np.int64) for _, x in names])
+
+    def of(known: pd.Series, own: pd.Series, digest: pd.Series, row: pd.Series) -> pd.Series:
+        keys = np.rec.fromarrays([x.to_numpy(np.int64) for x in (known, own, digest, row)])
+        return pd.Series(np.searchsorted(edges, keys, side="right").astype(np.int32))
+
+    return F.pandas_udf(of, "int")(*_KEYS)
+
+
+def write_records(documents: DataFrame, tokenizer: str, folder: str, end: int = 1, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Encodes documents(doc_id, text), each followed by end, into shard files; returns shard, part, file, records, tokens.
+
+    Files follow each other, by (shard, part), in ascending doc_id; null ids come first, rows of equal id follow
+    each other by the xxHash64 (seed 42) of their text.  A null text is encoded as an empty one; strings of the
+    tokenizer's added tokens are those tokens, as in its own encode(); other columns are ignored; no rows give no
+    files.  doc_id must be of an integer type (8 bytes of a record hold it), else a TypeError.
     """
-    docs = documents.select("doc_id", "text")
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     size = size_of(documents, "text")
-    shards = min(MOST_SHARDS, max(1, ceil((size or 0) / shard_bytes)))
-    cuts: list[int] = []
-    if shards > 1:
-        parts = ", ".join(f"{i / shards}D" for i in range(1, shards))
-        cuts = sorted(set(documents.select(F.expr(f"percentile_approx(doc_id, array({parts}), 100000)")).first()[0] or []))
-    known = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    of = _search(known, cuts, 0, len(cuts)) if len(cuts) <= 64 else F.pandas_udf(_searcher(cuts), "int")(known)
-    placed = docs.repartitionById(len(cuts) + 1, of.cast("int")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return written(placed.mapInArrow(_write(tokenizer, folder, end), "shard long, file string, records long, tokens long"), "manifest")
-
-
-def _search(x, cuts: list[int], lo: int, hi: int):
+    context = documents.sparkSession.sparkContext
+    ranges = max(ceil(size / task_bytes), min(ceil(size / shard_bytes), 8 * context.defaultParallelism), 1)
+    keyed = _keyed(documents)
+    bounds = _bounds(keyed, size, ranges) if ranges > 1 else np.zeros((0, 4), np.int64)
+    placed = keyed.repartitionById(len(bounds) + 1, _of_range(bounds)).sortWithinPartitions(*_KEYS[:3], F.asc_nulls_first("text"))
+    return written(placed.select("doc_id", "text").mapInArrow(_write(tokenizer, folder, end, shard_bytes), "shard long, part long, file string, records long, tokens long"), "manifest")
+
+
+def _search(x, cuts: list, lo: int, hi: int):
     """A tree of comparisons: how many of cuts[lo:hi] are <= x, plus lo."""
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(x >= F.lit(cuts[mid]), _search(x, cuts, mid + 1, hi)).otherwise(_search(x, cuts, lo, mid))
-
-
-def _searcher(cuts: list[int]):
-    edges = np.array(cuts, np.int64)
-
-    def of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
-
-    return of
+    return F.when(x >= cuts[mid], _search(x, cuts, mid + 1, hi)).otherwise(_search(x, cuts, lo, mid))
 
 
 def _read(batches):
@@ -258,7 +323,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     start counts the tokens of all records before, in the order of the shards.  One row of the manifest
     stands for a file of SHARD_BYTES, so its running sum is small.
     """
-    ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(ordered), F.lit(0)).cast("long")).select("file", "base")
     many = starts.sparkSession.sparkContext.defaultParallelism
     return starts.repartition(max(many, 1), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
