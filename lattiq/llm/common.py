@@ -76,6 +76,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it so that df has no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "__rid") -> DataFrame:
     """A key for each row, also where ids are null or repeated.  Only for frames whose result is then written or checkpointed once."""
     return df.withColumn(name, F.monotonically_increasing_id())

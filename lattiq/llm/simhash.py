@@ -6,9 +6,10 @@ once each: at most ``BUDGET`` differing bits leave at most half of them in one h
 walk starts with the high half under a budget of 2, the other with the low half under a budget of 1 and
 keeps the links whose high half differs in 3 bits or more.
 
-Spark's part: distinct fingerprints are spread over pairs of top nodes (prefixes of ``depth`` bits within
-the budget); a top node that holds too many is cut into chunks by a hash, pairs of chunks being tasks of
-bounded size.  Copies are never expanded: a fingerprint carries how many rows have it, and a task returns,
+Spark's part: the trie's crown is counted level by level, only crowded nodes deeper, until every leaf of it holds
+at most ``chunk`` distinct fingerprints (64 bits tell them apart, so that ends); at 2**MOST_LEAVES leaves or more
+chunk grows with the table instead.  The driver walks pairs of leaves under the budget as the tasks do below
+them, and each pair of leaves that stays is a task.  Copies are never expanded: a fingerprint carries how many rows have it, and a task returns,
 for each fingerprint with links, the number of linked rows and a root of its local spanning forest.
 """
 
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, ragged, text_bytes, written
+from .common import durable, fresh, ragged, text_bytes, written
 from .components import components
 
 BUDGET = 4
 SEED = 42
-#: Fingerprints of one side of a task, about; it only decides how the work is cut.
+#: Distinct fingerprints of one side of a task at most; it only decides how the work is cut.
 CHUNK = 16384
+#: Leaves of the crown, about, as a power of two: what the driver holds of it.
+MOST_LEAVES = 14
 _HALF = ((0, 2), (1, 1))  # (walk, budget of its first half)
 _FLUSH = 32
 _BITS = 1 << 16
@@ -121,30 +124,84 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _spread(depth: int, chunks: np.ndarray):
+def _leaves(prints: DataFrame, walk: int, n: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, depth) of the crown's leaves, in the order of the words; none holds more than chunk fingerprints.
+
+    Only crowded nodes are counted deeper, so at most n / chunk nodes a level come to the driver, 16 children each.
+    """
+    word = F.col("fp") if walk == 0 else F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    depth = min(MOST_LEAVES, max(4, ceil(log2(max(n, 1) / chunk))))
+    rows = prints.select(word.alias("word"))
+    starts, depths = [], []
+    while True:
+        found = rows.groupBy(F.shiftrightunsigned("word", 64 - depth).alias("top")).count().toArrow()
+        top, held = found.column("top").to_numpy().view(np.uint64), found.column("count").to_numpy()
+        done = held <= chunk
+        starts.append(top[done] << np.uint64(64 - depth))
+        depths.append(np.full(int(done.sum()), depth))
+        crowded = top[~done]
+        if not len(crowded):
+            break
+        names = rows.sparkSession.createDataFrame(pa.table({"__crowded": pa.array(np.sort(crowded).view(np.int64))}))
+        rows = rows.join(F.broadcast(names), F.shiftrightunsigned("word", 64 - depth) == F.col("__crowded"), "left_semi")  # at most n / chunk numbers
+        depth = min(depth + 4, 64)
+    first, deep = np.concatenate(starts), np.concatenate(depths)
+    order = np.argsort(first)
+    return first[order], deep[order]
+
+
+def _pairs(first: np.ndarray, deep: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf the others that it is paired with (itself too), one after the other, and where each leaf's begin.
+
+    Two leaves are walked together from the root as words are; what they have in common is as deep as the shallower.
+    """
+    budget = dict(_HALF)[walk]
+    i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(first):
+        return j, np.zeros(1, np.int64)
+    lo, hi, left, right, dist = (np.array([x], np.int64) for x in (0, len(first), 0, len(first), 0))
+    for depth in range(65):
+        whole = ((hi - lo == 1) & (deep[lo] <= depth)) | ((right - left == 1) & (deep[left] <= depth))  # one of them is a leaf
+        if whole.any():
+            na, nb = (hi - lo)[whole], (right - left)[whole]
+            k, width = ragged(na * nb), np.repeat(nb, na * nb)
+            i = np.concatenate([i, np.repeat(lo[whole], na * nb) + k // width])
+            j = np.concatenate([j, np.repeat(left[whole], na * nb) + k % width])
+            lo, hi, left, right, dist = (v[~whole] for v in (lo, hi, left, right, dist))
+        if not len(lo):
+            break
+        zero = np.concatenate([[0], np.cumsum((first >> np.uint64(63 - depth)) & np.uint64(1) == 0)])
+        m, w = lo + zero[hi] - zero[lo], left + zero[right] - zero[left]
+        most = budget if depth < 32 else BUDGET
+        parts = []
+        for l1, h1, l2, h2, differ in ((lo, m, left, w, 0), (m, hi, w, right, 0), (lo, m, w, right, 1), (m, hi, left, w, 1)):
+            go = (h1 > l1) & (h2 > l2) & (dist + differ <= most)
+            parts.append((l1[go], h1[go], l2[go], h2[go], dist[go] + differ))
+        lo, hi, left, right, dist = (np.concatenate(x) for x in zip(*parts))
+    x, y = first[i], first[j]
+    common = np.minimum(deep[i], deep[j])
+    differ = np.bitwise_count((x ^ y) >> (np.uint64(64) - common.astype(np.uint64))) if len(i) else np.zeros(0)
+    top = np.bitwise_count((x ^ y) >> (np.uint64(64) - np.minimum(common, 32).astype(np.uint64))) if len(i) else np.zeros(0)
+    keep = (top <= budget) & (differ <= BUDGET)
+    order = np.lexsort((j[keep], i[keep]))
+    return j[keep][order], np.concatenate([[0], np.cumsum(np.bincount(i[keep], minlength=len(first)))])
+
+
+def _spread(crowns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """mapInArrow function: a row for each task that a fingerprint takes part in."""
-    flips = {w: np.array([m for m in range(1 << depth) if m.bit_count() <= most], np.int64) for w, most in _HALF}
 
     def run(batches):
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             rows = b.column("rows").to_numpy(zero_copy_only=False)
-            for w, _ in _HALF:
-                top = (_turn(fp, w) >> np.uint64(64 - depth)).astype(np.int64)
-                mixed = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-                mine = mixed % chunks[w][top]
-                at = np.repeat(np.arange(len(fp)), len(flips[w]))
-                other = top[at] ^ np.tile(flips[w], len(fp))
-                n = chunks[w][other]
-                live = n > 0
-                at, other, n = at[live], other[live], n[live]
-                theirs = ragged(n)
-                at, other = np.repeat(at, n), np.repeat(other, n)
-                own, left = top[at], mine[at]
-                swap = (own > other) | ((own == other) & (left > theirs))
-                lo, hi = np.where(swap, other, own), np.where(swap, own, other)
-                ci, cj = np.where(swap, theirs, left), np.where(swap, left, theirs)
-                key = (((w << 16 | lo) << 16 | hi) << 15 | ci) << 15 | cj
+            for w, (first, other, begin) in enumerate(crowns):
+                own = np.searchsorted(first, _turn(fp, w), side="right") - 1
+                n = begin[own + 1] - begin[own]
+                at = np.repeat(np.arange(len(fp)), n)
+                theirs = other[np.repeat(begin[own], n) + ragged(n)]
+                mine = own[at]
+                key = (w << 62) | (np.minimum(mine, theirs) << 31) | np.maximum(mine, theirs)
+                swap = mine > theirs
                 for s in range(0, len(key), 1 << 18):
                     e = slice(s, s + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(key[e]), pa.array(swap[e]), pa.array(fp[at[e]].view(np.int64)), pa.array(rows[at[e]])], ["task", "right", "fp", "rows"])
@@ -154,8 +211,7 @@ def _spread(depth: int, chunks: np.ndarray):
 
 def _task(key, t):
     k = key[0].as_py()
-    walk, lo, hi, ci, cj = k >> 62 & 1, k >> 46 & 0xFFFF, k >> 30 & 0xFFFF, k >> 15 & 0x7FFF, k & 0x7FFF
-    same = (lo, ci) == (hi, cj)
+    walk, same = k >> 62 & 1, k >> 31 & 0x7FFFFFFF == k & 0x7FFFFFFF
     fp = t.column("fp").to_numpy().view(np.uint64)
     rows, right = t.column("rows").to_numpy(), t.column("right").to_numpy(zero_copy_only=False).astype(bool)
     turned = _turn(fp, walk)
@@ -178,15 +234,12 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     prints(fp, rows) holds distinct fingerprints and the number of rows that have each.
     """
     n = prints.count()
-    depth = min(14, max(6, ceil(log2(max(n, 1) / chunk))))
-    tops = [F.shiftrightunsigned("fp", 64 - depth), F.shiftrightunsigned(F.shiftleft("fp", 32), 64 - depth)]
-    chunks = np.zeros((2, 1 << depth), np.int64)
-    for w, top in enumerate(tops):  # at most 2^14 rows each
-        for r in prints.groupBy(top.alias("top")).count().collect():
-            chunks[w, r["top"]] = ceil(r["count"] / chunk)
-    if chunks.max() >= 1 << 15:
-        raise ValueError("too many fingerprints share a prefix; raise chunk")
-    spread = prints.mapInArrow(_spread(depth, chunks), "task long, right boolean, fp long, rows long")
+    chunk = max(chunk, n >> MOST_LEAVES)
+    crowns = []
+    for walk, _ in _HALF:
+        first, deep = _leaves(prints, walk, n, chunk)
+        crowns.append((first, *_pairs(first, deep, walk)))
+    spread = prints.mapInArrow(_spread(crowns), "task long, right boolean, fp long, rows long")
     return spread.groupBy("task").applyInArrow(_task, "fp long, near long, root long")
 
 
@@ -213,27 +266,32 @@ def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return docs.join(_linked(docs, chunk), "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
-def _with_prints(batches):
-    for b in batches:
-        prints = np.array([fingerprint(t or b"") for t in text_bytes(b.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], [*b.schema.names, "__fp"])
+def _with_prints(name: str):
+    def run(batches):
+        for b in batches:
+            prints = np.array([fingerprint(t or b"") for t in text_bytes(b.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], [*b.schema.names, name])
+
+    return run
 
 
 def one_of_each(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """documents without near-duplicates: of each component, the row of the smallest doc_id (then fingerprint).
 
-    All columns stay.  Null ids count as greatest; of rows with equal id and fingerprint one stays.
+    All columns stay, whatever their names.  Null ids count as greatest; of rows with equal id and fingerprint one stays.
     """
-    docs = written(documents.mapInArrow(_with_prints, T.StructType([*documents.schema.fields, T.StructField("__fp", T.LongType())])), "printed")
-    bare = docs.select("doc_id", F.col("__fp").alias("fp"))
+    own = fresh(documents, "__fp")
+    docs = written(documents.mapInArrow(_with_prints(own), T.StructType([*documents.schema.fields, T.StructField(own, T.LongType())])), "printed")
+    bare = docs.select("doc_id", F.col(own).alias("fp"))
     linked = bare.join(_linked(bare, chunk).select("fp", "root"), "fp")
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")).alias("k"), F.count("*"))
-    kept = durable(first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp")))
-    stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__fp") == F.col("kept_fp")), "left_semi")
-    same = bare.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    kept_id, kept_fp = fresh(docs, "__kept_id"), fresh(docs, "__kept_fp")
+    kept = durable(first.select(F.col("k.doc_id").alias(kept_id), F.col("k.fp").alias(kept_fp)))
+    stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)), "left_semi")
+    same = bare.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col("fp") == F.col(kept_fp)), "left_semi")
     if not same.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():  # only then are whole rows compared
-        stay = stay.dropDuplicates(["doc_id", "__fp"])
-    return stay.drop("__fp")
+        stay = stay.dropDuplicates(["doc_id", own])
+    return stay.drop(own)
 
 
 def hex_of(fp: str = "fp"):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lattiq.llm.simhash import _turn, fingerprint, near_duplicates, trie_pairs
+from lattiq.llm.simhash import _turn, fingerprint, links, near_duplicates, one_of_each, trie_pairs
 
 SCHEMA = "doc_id long, text string, fp string, task int"
 
@@ -77,3 +77,25 @@ def test_trie_pairs_against_all_pairs(same):
         got += [tuple(sorted(map(int, p))) for p in zip(_turn(x[i], walk), _turn(y[j], walk))]
     want = {tuple(sorted((int(p), int(q)))) for p in a for q in b if p != q and (int(p) ^ int(q)).bit_count() <= 4}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_crowded_prefixes_are_cut_deeper(spark):
+    """Thousands of fingerprints that share their first bits, in either half, among others: all links by brute force."""
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40, dtype=np.uint64)]
+    hot = [(0xABCD << 48) | int(x) for x in rng.integers(0, 1 << 14, 300)] + [0x1234 | (int(x) << 40) for x in rng.integers(0, 1 << 20, 300)]
+    near = [x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)) for x in base + hot[::10] for _ in range(4)]
+    words = np.unique(np.array(base + hot + near, np.uint64))
+    df = spark.createDataFrame([(int(x), 1) for x in words.view(np.int64)], "fp long, rows long")
+    want = {int(x): int((np.bitwise_count(words ^ x) <= 4).sum()) - 1 for x in words}
+    for chunk in (9, 100):
+        got = {r.fp % (1 << 64): r.near for r in links(df, chunk).groupBy("fp").agg({"near": "sum"}).withColumnRenamed("sum(near)", "near").collect()}
+        assert got == {x: n for x, n in want.items() if n}
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(2, "a b c d e", 7, "x", 1), (1, "a b c d e", 8, "y", 2), (3, "other words stand here now", 9, None, 3), (None, "a b c d e", 1, "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp long, __kept_id string, __KEPT_FP int")
+    got = one_of_each(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[1], rows[2]]
+    assert one_of_each(df.limit(0)).count() == 0
