@@ -37,9 +37,9 @@ from .common import by_bytes, filesystem, put_file, shared_dir, size_of, text_by
 #: Bytes of a shard file, about; a longer record stands alone.
 SHARD_BYTES = 32 << 20
 #: Bytes of text in a task where there are tasks enough for all cores; a task then writes several files.
-TASK_BYTES = 512 << 20
+TASK_BYTES = 128 << 20
 #: Sampled rows for each bound of the ranges.
-SAMPLE = 32
+SAMPLE = 16
 #: Units whose ids a Python worker keeps.
 CACHE_WORDS = 1_200_000
 _MASK = 0xA282EAD8
