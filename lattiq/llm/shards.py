@@ -2,9 +2,10 @@
 
 Groups of equal size are interchangeable, so the heap works on size classes (size, number of groups): a
 class puts its groups on the shards in one step that gives exactly what one heap step a group would give.
-Distinct sizes are few: D of them need at least D(D+1)/2 bytes of input, so D <= sqrt(2 x bytes).  Which group
+Distinct sizes are few: D of them need at least D(D+1)/2 bytes of input, so D <= sqrt(2 x bytes).  The heap is
+sequential by nature; it runs over the classes in one task that keeps nothing of them, and none comes to the driver.  Which group
 of its class goes where, and a row's slot in its shard, come from ranks inside hash buckets of bounded size
-plus offsets of the buckets; no class, group or shard is ever brought into one task.
+plus offsets of the buckets; no class's groups and no shard's rows are ever brought into one task.
 """
 
 from __future__ import annotations
@@ -24,18 +25,24 @@ ROW_BYTES = 8
 BUCKET_ROWS = 100_000
 
 
-def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class x shard counts, loads) for classes in falling order of size; ties of load go to the lower shard.
+class Schedule:
+    """Loads of the shards, and the heap over them; takes classes in falling order of size."""
 
-    The greedy rule gives a class's groups, one by one, to the lowest of the levels load + i * size (i = 0, 1,
-    ...) of all shards; so the c lowest levels are taken at once.
-    """
-    loads = [0] * shards
-    out = np.zeros((len(sizes), shards), np.int64)
-    for x, (size, c) in enumerate(zip(sizes.tolist(), counts.tolist())):
-        row = out[x]
-        if c > 4 * shards and size > 0:
-            lo, hi = min(loads), max(loads) + size * (c // shards + 2)
+    def __init__(self, shards: int):
+        self.loads = [0] * shards
+        self.heap = [(0, s) for s in range(shards)]
+
+    def place(self, size: int, c: int) -> list[int]:
+        """How many of a class's c groups each shard gets; ties of load go to the lower shard.
+
+        The greedy rule gives a class's groups, one by one, to the lowest of the levels load + i * size (i = 0, 1,
+        ...) of all shards; so all but few of the c lowest levels are taken at once.
+        """
+        loads, heap = self.loads, self.heap
+        n = len(loads)
+        row = [0] * n
+        if c > 4 * n and size > 0:
+            lo, hi = min(loads), max(loads) + size * (c // n + 2)
             while lo < hi:  # the highest level below which at most c groups lie
                 mid = (lo + hi + 1) // 2
                 if sum(max(0, -((load - mid) // size)) for load in loads) <= c:
@@ -47,15 +54,40 @@ def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.nda
                 row[s] += k
                 loads[s] = load + k * size
                 c -= k
-        if c:
-            heap = [(load, s) for s, load in enumerate(loads)]
+            heap[:] = [(load, s) for s, load in enumerate(loads)]
             heapify(heap)
-            for _ in range(c):
-                load, s = heap[0]
-                row[s] += 1
-                loads[s] = load + size
-                heapreplace(heap, (load + size, s))
-    return out, np.array(loads)
+        for _ in range(c):
+            load, s = heap[0]
+            row[s] += 1
+            loads[s] = load + size
+            heapreplace(heap, (load + size, s))
+        return row
+
+
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class x shard counts, loads) for classes in falling order of size."""
+    plan = Schedule(shards)
+    out = [plan.place(size, c) for size, c in zip(sizes.tolist(), counts.tolist())]
+    return np.array(out, np.int64).reshape(len(sizes), shards), np.array(plan.loads)
+
+
+def _plan(shards: int):
+    """mapInArrow function over all classes in falling order of size: for each, up to which of its ranks a shard takes."""
+
+    def run(batches):
+        plan = Schedule(shards)
+        for b in batches:
+            totals, cuts = b.column("total").to_pylist(), []
+            for total, n in zip(totals, b.column("n").to_pylist()):
+                until, own = 0, []
+                for s, k in enumerate(plan.place(total, n)):
+                    if k:
+                        until += k
+                        own.append({"until": until, "shard": s})
+                cuts.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("until", pa.int64()), ("shard", pa.int32())])))], ["total", "cuts"])
+
+    return run
 
 
 def _ranked(df: DataFrame, by: list[str], rows: DataFrame, seed: str, order: list[str], name: str) -> DataFrame:
@@ -91,14 +123,8 @@ def shard(documents: DataFrame, shards: int = 24) -> DataFrame:
     groups = rows.groupBy("digest").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
     groups = durable(groups)
     classes = groups.groupBy("total").agg(F.count("*").alias("n"))
-    table = classes.orderBy(F.desc("total")).toArrow()
-    sizes, counts = table.column("total").to_numpy(), table.column("n").to_numpy()
-    given, _ = schedule(sizes, counts, shards)
-    at, s = np.nonzero(given)
-    until = np.cumsum(given, axis=1)[at, s] if len(at) else np.zeros(0, np.int64)
-    spark = documents.sparkSession
-    ranges = spark.createDataFrame(pa.table({"total": pa.array(sizes[at] if len(at) else [], pa.int64()), "until": pa.array(until, pa.int64()), "shard": pa.array(s, pa.int32())}))
-    lists = ranges.groupBy("total").agg(F.sort_array(F.collect_list(F.struct("until", "shard"))).alias("cuts"))  # at most one entry a shard
+    # one task walks the classes, a row each, and holds nothing but the shards' loads
+    lists = durable(classes.repartition(1).sortWithinPartitions(F.desc("total")).mapInArrow(_plan(shards), "total long, cuts array<struct<until:long,shard:int>>"))
     ranked = _ranked(groups, ["total"], classes, "digest", ["digest"], "rank")
     placed = ranked.join(lists, "total").select("digest", "members", F.expr("element_at(filter(cuts, c -> c.until > rank), 1).shard").alias("shard"))
     full = durable(rows.join(placed.select("digest", "shard"), "digest"))
