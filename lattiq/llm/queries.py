@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import secrets
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,9 +81,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@lru_cache
 def surrogate_key() -> bytes:
-    """The secret of a deployment; the fallback makes results repeatable in tests only."""
-    return os.environ.get("SURROGATE_KEY", "not a secret").encode()
+    """The secret of a deployment, $SURROGATE_KEY; where there is none, a random one that this process forgets."""
+    return os.environ["SURROGATE_KEY"].encode() if os.environ.get("SURROGATE_KEY") else secrets.token_bytes(32)
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,16 @@ surrogate belongs to the canonical form of an entity (digits of a phone number,
 is written in the format of each occurrence, so an entity keeps one surrogate in all documents.
 
 A name is the words with a capital after a title (of any number; small words like "de" and initials stay); its
-words are then found everywhere in the same text where they stand with a capital.  Names in texts that give
-none of their words a title are not seen.  A neutral title leaves the gender to the text's other titles, then to
+words are then found everywhere in the same text where they stand with a capital.  Without a title a name is
+seen where a common given name with a capital stands before a family name.  Other names are not seen.  A neutral title leaves the gender to the text's other titles, then to
 the lists of names.  In a text all in capitals a name ends at punctuation or a common function word only.
 
 Collision checks run in Spark over all distinct entities of the corpus: an entity whose surrogate is its own
 text, the text of any other entity, or the surrogate of a smaller one is drawn again under the next attempt,
-until none is left.  Only those redrawn leave attempt 0; they are sent to every executor where few (checked),
-else joined to the documents that hold them.
+until none is left.  Where the corpus holds more than a CROWDED share of all strings of a shape (all of 192.168.*.*, say),
+no such strings are left to give; there every entity keeps attempt 0, whose permutation still tells them all apart.
+Only those redrawn leave attempt 0; they are sent to every executor where they are few bytes (checked), else joined to
+the documents that hold them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import ipaddress
 import re
 from functools import lru_cache
+from math import inf
 
 import pandas as pd
 import pyarrow as pa
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, text_bytes, with_row_key, written
+from .common import durable, fresh, text_bytes, with_row_key, written
 
-#: Redrawn entities that may be sent to every executor.
-BROADCAST_ENTITIES = 100_000
-ATTEMPTS = 64
+#: Bytes of redrawn entities that may be sent to every executor.
+BROADCAST_BYTES = 16 << 20
+#: Share of a shape's strings that may be entities of the corpus.
+CROWDED = 0.25
 
 GIVEN = {
     ("latin", "f"): "Anna Maria Laura Julia Emma Clara Nora Elena Alice Irene Marta Sofia Lucia Helena Teresa Olivia Johanna Camille Amelie Ingrid".split(),
@@ -50,7 +54,20 @@ _TITLES = {
     "n": "Dr Doctor Doktor Docteur Prof Professor Professeur Mx Доктор Профессор Δρ".split(),
 }
 _GENDER = {x: g for g, ts in _TITLES.items() for t in ts for x in (t, t.upper())}
-_LISTED = {n.lower(): g for (_, g), ns in GIVEN.items() for n in ns}
+#: Common given names; before a word with a capital they make a name without a title.
+_FIRST = {
+    "f": """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie
+        Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Ruth Katherine Samantha Christine Rachel Catherine Carolyn Janet Heather Diane Virginia Julie Joyce Jane Hannah
+        Ursula Monika Petra Sabine Renate Karin Brigitte Heike Andrea Gabriele Susanne Claudia Birgit Kerstin Silke Anja Ulrike Gisela Katrin Nathalie Isabelle Sylvie Françoise Véronique Monique
+        Céline Sandrine Chantal Aurélie Hélène Élodie Léa Chloé Manon Carmen Isabel Pilar Dolores Josefa Teresa Rosario Cristina Lucía María Raquel Beatriz Rocío Mercedes Inés Paula""".split(),
+    "m": """James John Michael William Richard Joseph Charles Christopher Matthew Anthony Donald Steven Andrew Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob
+        Nicholas Gary Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Patrick Alexander Jack Dennis Jerry Tyler Aaron Adam Nathan Henry Douglas Zachary Kyle Noah Ethan
+        Hans Jürgen Klaus Wolfgang Uwe Dieter Manfred Helmut Günter Gerhard Heinz Werner Bernd Rainer Jens Ralf Andreas Matthias Jörg Sebastian Johannes Pierre Jean Michel Alain Philippe Jacques
+        Nicolas François Laurent Julien Olivier Thierry Guillaume Étienne Mathieu Antonio José Manuel Francisco Javier Jesús Miguel Alejandro Rafael Fernando Pablo Jorge Alberto Sergio Álvaro Luis""".split(),
+}
+_FIRST = {g: set(ns) | {n for (_, x), listed in GIVEN.items() if x == g for n in listed} for g, ns in _FIRST.items()}
+_FIRSTS = _FIRST["f"] | _FIRST["m"]
+_LISTED = {n.lower(): g for g, ns in _FIRST.items() for n in ns} | {n.lower(): g for (_, g), ns in GIVEN.items() for n in ns}
 #: Small words inside a name; kept as they are.
 _PARTICLES = "de del la las los von van der den dem zu zur di da dal della dos das du le ter ten af av al el bin ibn".split()
 #: In capitals these end a name, which no lower case shows there.
@@ -66,7 +83,7 @@ _ENDING = {("latin", "f"): "ina", ("latin", "m"): "an", ("latin", "n"): "is", ("
 
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])")
-_LOCAL = re.compile(r"[\w.+%-]+\Z")
+_LOCAL = re.compile(r"[\w.+%-]+")
 _KEY = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
     r"|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
@@ -90,8 +107,12 @@ _TITLE = rf"(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})"
 _NEUTRAL = rf"(?:{'|'.join(sorted((x for x, g in _GENDER.items() if g == 'n'), key=len, reverse=True))})"
 _TITLED = re.compile(rf"(?<!\w)({_TITLE}(?:\.? {_NEUTRAL})*)(?!\w)(?=\.? )")
 _PART = re.compile(rf" (?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}({_NAME})")
+#: Words with a capital next to each other, initials between them.
+_FULL = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-ÞΆ-ΫА-Я][^\W\d_]+(?:[-'’][^\W\d_]+)*(?: (?:[A-Z]\.? )?[A-ZÀ-ÖØ-ÞΆ-ΫА-Я][^\W\d_]+(?:[-'’][^\W\d_]+)*)+")
 _OWNER = re.compile(r"(?<=.)['’][sS]\Z")
 _DIGIT = re.compile(r"[0-9]")
+#: What stands before four numbers that are no address.
+_VERSION = re.compile(r"(?i:\b(?:version|versión|versions?nummer|ver|release|build|revision|rev|firmware|section|abschnitt|chapter|kapitel)[.:]? ?)\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -136,6 +157,15 @@ def _people(text: str):
                 break
             words.append((a, a + len(_OWNER.sub("", w[1]))))
         people.append((gender, words))
+    taken = {a for _, words in people for a, _ in words}
+    for m in _FULL.finditer(text):  # given names that are listed, then a family name
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(_NAME, m[0]) if len(w[0]) > 1]
+        while len(words) > 1 and text[slice(*words[0])] not in _FIRSTS:
+            words.pop(0)
+        if len(words) > 1 and not taken.intersection(a for a, _ in words):
+            last = words[-1]
+            words[-1] = (last[0], last[0] + len(_OWNER.sub("", text[slice(*last)])))
+            people.append((_LISTED[text[slice(*words[0])].lower()], words))
     genders = {text[a:e].lower(): g for g, words in people if g != "n" for a, e in words[:-1]}
     kinds: dict[str, str] = {}
     for gender, words in people:
@@ -154,12 +184,13 @@ def _people(text: str):
 
 def _spans(text: str):
     """(start, priority, end, kind, canonical form) of whatever looks like an entity; may overlap."""
-    at = text.find("@")
+    at, last = text.find("@"), 0
     while at >= 0:
-        if local := _LOCAL.search(text, max(0, at - 256), at):
-            if m := _EMAIL.match(text, local.start()):
+        if local := _LOCAL.match(text[last:at][::-1]):  # backwards; what lies before the "@" before is never looked at again
+            if m := _EMAIL.match(text, at - local.end()):
                 yield m.start(), 1, m.end(), "email", m[0].lower()
-        at = text.find("@", at + 1)
+        last = at + 1
+        at = text.find("@", last)
     if any(x in text for x in _KEY_HINTS):
         for m in _KEY.finditer(text):
             yield m.start(), 0, m.end(), "secret", m[0]
@@ -167,7 +198,7 @@ def _spans(text: str):
     if any(x in low for x in _SECRET_HINTS):
         for m in _SECRET.finditer(text):
             yield m.start(1), 2, m.end(1), "secret", m[1]
-    if any(x in text for x in _GENDER):
+    if any(x in text for x in _GENDER) or not _FIRSTS.isdisjoint(re.split(r"[\s\"'(\[]", text)):
         for a, e, kind in _people(text):
             yield a, 8, e, kind, text[a:e].lower()
     if not _DIGIT.search(text):
@@ -183,6 +214,9 @@ def _spans(text: str):
         if c.start() < done or not (m := _NUMBER.match(text, c.start())):
             continue
         kind, s = m.lastgroup, m[0]
+        if kind == "ip" and _VERSION.search(text, max(0, m.start() - 16), m.start()):
+            done = m.end()
+            continue
         digits = re.sub(r"\D", "", s)
         end = m.end()
         if kind == "card" and not luhn(digits):
@@ -304,10 +338,10 @@ class Keyed:
             _, script, gender = kind.split("-")
             listed = GIVEN.get((script, gender))
             n = self._number("name", kind, canonical, attempt)
-            if listed and attempt < 3:
+            if listed and not attempt:
                 return listed[n % len(listed)].lower()
             out = []
-            for _ in range(3 + attempt // 16):
+            for _ in range(2 + max(1, attempt)):  # some 30 times as many names with each attempt
                 n, k = divmod(n, len(_SYLLABLES[script]))
                 out.append(_SYLLABLES[script][k])
             return "".join(out) + _ENDING[script, gender]
@@ -324,6 +358,22 @@ class Keyed:
         return head + self.shape(body, tweak) + tail
 
 
+def shape_of(kind: str, canonical: str) -> tuple[str, float]:
+    """The strings among which attempt 0 permutes an entity: a name for them, and how many there are."""
+    if kind.startswith("name-"):
+        return "", inf  # drawn anew with ever longer names
+    if kind == "ip":
+        x = ipaddress.IPv4Address(canonical)
+        net = next((n for n in _PRIVATE if x in n), None)
+        return str(net or x.is_global), float(net.num_addresses if net else 1 << 31)
+    head, fixed = {"card": (1, 2), "iban": (4, 4), "phone": (0 if len(canonical) == 10 else 2, 0)}.get(kind, (0, 0))
+    if kind == "email":
+        canonical, _, top = canonical.rpartition(".")
+    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", canonical[head:])))
+    room = 26.0 ** sum(c in "aA" for c in shape[:200]) * 10.0 ** (shape.count("0", 0, 200) - (fixed == 2))
+    return canonical[: head if kind != "iban" else 2] + shape + (f".{top}" if kind == "email" else ""), room
+
+
 _PRIVATE = [ipaddress.IPv4Network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")]
 
 
@@ -357,36 +407,48 @@ def _drawer(key: bytes):
     return F.pandas_udf(draw, "string")
 
 
+def _shapes():
+    def shapes(kind: pd.Series, canonical: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape_of(k, c) for k, c in zip(kind, canonical)], columns=["shape", "room"])
+
+    return F.pandas_udf(shapes, "struct<shape:string,room:double>")
+
+
 def redraws(documents: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, attempt) of the entities that don't keep attempt 0, so that no two share a surrogate and none is a real entity."""
+    """(kind, canonical, attempt) of the entities that don't keep attempt 0, so that no two share a surrogate and none is a real entity.
+
+    Entities of crowded shapes keep it, and share no surrogates all the same.
+    """
     draw = _drawer(key)
     entities = written(documents.select("text").mapInArrow(_entities, "kind string, canonical string").distinct(), "entities")
     family = lambda c: F.regexp_replace(c, "^(name-[a-z]+)-.*", "$1")
-    settled = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "canonical", "attempt")), "surrogates")
+    first = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "canonical", "attempt"))
+    settled = written(first.withColumn("s", _shapes()("kind", "canonical")).select("kind", "canonical", "attempt", "surrogate", F.sha2("s.shape", 256).alias("shape"), "s.room"), "surrogates")
+    crowded = settled.where(f"room < {1e15 / CROWDED}").groupBy("kind", "shape").agg((F.count("*") > F.lit(CROWDED) * F.first("room")).alias("crowded")).where("crowded")
+    settled = written(settled.join(crowded, ["kind", "shape"], "left").select("kind", "canonical", "attempt", "surrogate", F.coalesce("crowded", F.lit(False)).alias("crowded")), "settled")
     real = entities.select(family(F.col("kind")).alias("family"), F.col("canonical").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    moved = None
-    for attempt in range(1, ATTEMPTS + 1):
+    moved, attempt = None, 0
+    while True:
+        attempt += 1
         now = settled if moved is None else settled.join(moved.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(moved)
         now = now.withColumn("family", family(F.col("kind")))
-        first = now.groupBy("family", "surrogate").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        bad = now.join(first, ["family", "surrogate"], "left").join(real, ["family", "surrogate"], "left").where(
-            F.col("real").isNotNull() | (F.col("n").isNotNull() & (F.struct("attempt", "kind", "canonical") != F.col("first")))
-        )
+        # of those that share a surrogate the crowded one stays (no two do), else the one of the least attempt
+        order = F.struct((~F.col("crowded")).alias("free"), "attempt", "kind", "canonical")
+        least = now.groupBy("family", "surrogate").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1")
+        bad = now.join(least, ["family", "surrogate"], "left").join(real, ["family", "surrogate"], "left").where(~F.col("crowded") & (F.col("real").isNotNull() | (F.col("n").isNotNull() & (order != F.col("least")))))
         bad = durable(bad.select("kind", "canonical"))
         if bad.isEmpty():
             break
-        again = bad.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", draw("kind", "canonical", "attempt"))
+        again = bad.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", draw("kind", "canonical", "attempt")).withColumn("crowded", F.lit(False))
         moved = durable(again if moved is None else moved.join(bad, ["kind", "canonical"], "left_anti").unionByName(again))
-    else:
-        raise RuntimeError("surrogates still collide")
     return (moved if moved is not None else settled.limit(0)).select("kind", "canonical", "attempt")
 
 
-def _replace(key: bytes, shared: dict[tuple[str, str], int]):
+def _replace(key: bytes, shared: dict[tuple[str, str], int], row: str | None = None, redraw: str | None = None):
     def run(batches):
         keyed = Keyed(key)
         for b in batches:
-            own = b.column("__redrawn").to_pylist() if "__redrawn" in b.schema.names else None
+            own = b.column(redraw).to_pylist() if redraw else None
             texts, spans = [], []
             for i, t in enumerate(text_bytes(b.column("text"))):
                 if t is None:
@@ -406,7 +468,7 @@ def _replace(key: bytes, shared: dict[tuple[str, str], int]):
                 out.append(text[at:])
                 texts.append("".join(out))
                 spans.append(found)
-            names = [c for c in b.schema.names if c not in ("text", "__rid", "__redrawn")]
+            names = [c for c in b.schema.names if c not in ("text", row, redraw)]
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string()), pa.array(spans, kind)], [*names, "text", "spans"])
 
@@ -420,7 +482,7 @@ def _kinds(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["__rid", "kind", "canonical"])
 
 
-def pseudonymize(documents: DataFrame, key: bytes, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
+def pseudonymize(documents: DataFrame, key: bytes, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """documents(doc_id, text, ...) with surrogates in text, and spans array<struct<from,to,kind>> (characters of the new text).
 
     All other columns are handed through, whatever their names (but ``spans``, which is replaced).  A null text
@@ -432,10 +494,12 @@ def pseudonymize(documents: DataFrame, key: bytes, broadcast_entities: int = BRO
     fields = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), *T._parse_datatype_string("spans array<struct<from:bigint,to:bigint,kind:string>>").fields])
     order = [*docs.columns, "spans"]
-    if again.count() <= broadcast_entities:
-        shared = {(r["kind"], r["canonical"]): r["attempt"] for r in again.collect()}
+    held = again.agg(F.coalesce(F.sum(F.octet_length("kind") + F.octet_length("canonical") + 8), F.lit(0))).first()[0]
+    if held <= broadcast_bytes:
+        shared = {(r["kind"], r["canonical"]): r["attempt"] for r in again.collect()}  # checked
         return docs.mapInArrow(_replace(key, shared), schema).select(*order)
-    keyed = written(with_row_key(docs), "keyed")
-    held = keyed.select("__rid", "text").mapInArrow(_kinds, "__rid long, kind string, canonical string").join(again, ["kind", "canonical"])
-    held = held.groupBy("__rid").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("__redrawn"))
-    return keyed.join(held, "__rid", "left").mapInArrow(_replace(key, {}), schema).select(*order)
+    row, redraw = fresh(docs, "__row"), fresh(docs, "__redrawn")
+    keyed = written(with_row_key(docs, row), "keyed")
+    found = keyed.select(F.col(row).alias("__rid"), "text").mapInArrow(_kinds, "__rid long, kind string, canonical string").join(again, ["kind", "canonical"])
+    found = found.groupBy("__rid").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(redraw)).withColumnRenamed("__rid", row)
+    return keyed.join(found, row, "left").mapInArrow(_replace(key, {}, row, redraw), schema).select(*order)

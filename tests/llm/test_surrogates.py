@@ -4,6 +4,7 @@ import pytest
 
 from lattiq.llm import surrogates as S
 from lattiq.llm.common import table
+from lattiq.llm.queries import op7_surrogates, surrogate_key
 
 KEY = b"test"
 
@@ -84,7 +85,7 @@ def test_distinct_coreferent_and_whole(spark, limit):
     names = [f"Mr. {a}{b} Smith{c}" for a in ("Bob", "Tim", "Al") for b in ("", "by", "ster", "vin", "dor", "mer", "tan", "lon", "rik") for c in ("", "son", "well")]
     phones = [f"+1 ({200 + i}) 555-{1000 + i}" for i in range(40)]
     texts = [f"Dear {n} call {p} now." for n, p in zip(names, phones * 3)] + [names[0].upper().replace("MR.", "Mr."), None, "", "clean text, 1 2 3.", phones[0].replace("+1 ", "")]
-    got = run(spark, texts, broadcast_entities=limit)
+    got = run(spark, texts, broadcast_bytes=limit)
     assert [r.kind for r in got] == ["c"] * len(texts) and got[-4].text is None and [r.text for r in got[-3:-1]] == ["", "clean text, 1 2 3."]
     seen = {}
     for t, r in zip(texts, got):
@@ -113,3 +114,65 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert S.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("John Miller came; Miller's car was there", "m john, s miller, s miller"),
+        ("Mrs. Anna Schmidt wrote. Later Schmidt called Anna. John Miller left.", "f anna, s schmidt, s schmidt, f anna, m john, s miller"),
+        ("The Mary J. Watson files", "f mary, s watson"),
+        ("(Peter Kovacs), 'Maria Lopez'", "m peter, s kovacs, f maria, s lopez"),
+        ("Mary had it. In Paris Peter ran to Anna.", ""),
+        ("Anha The Of", ""),
+    ],
+)
+def test_names_without_titles(text, names):
+    assert ", ".join(f"{k.split('-')[2]} {c}" for _, _, k, c in S.find(text)) == names
+
+
+def test_versions_and_long_addresses():
+    assert S.find("version 1.2.3.4, Release 10.0.0.1 and firmware: 1.2.3.4") == []
+    assert [c for *_, c in S.find("x" * 5000 + "@a.example.com, at 1.2.3.4")] == ["x" * 5000 + "@a.example.com", "1.2.3.4"]
+    assert [c for *_, c in S.find("a@b@c.example.com @ d@e.example.com")] == ["b@c.example.com", "d@e.example.com"]
+
+
+def test_crowded_shapes_end_and_stay_distinct(spark):
+    """More than a quarter of a private network: no draw can avoid them all, but none is given twice."""
+    all_of = [f"192.168.{i // 256}.{i % 256}" for i in range(20_000)]
+    got = run(spark, [" ".join(all_of), "10.1.2.3 and 8.8.4.4, +1 (269) 555-3296"])
+    new = got[0].text.split()
+    assert len(set(new)) == len(all_of) and all(x.startswith("192.168.") for x in new) and new != all_of
+    assert not {"10.1.2.3", "8.8.4.4"} & set(got[1].text.split())
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "call +1 (269) 555-3296", 5, "x", [1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __rid int, __redrawn string, __row array<int>")
+    for limit in (1 << 20, -1):
+        got = S.pseudonymize(df, KEY, limit)
+        assert got.columns == [*df.columns, "spans"] and got.drop("text", "spans").first() == df.drop("text").first() and got.first().text != rows[0][1]
+
+
+def test_query_against_one_document_at_a_time(spark, monkeypatch):
+    """Replaces from the last span to the first, and checks collisions over a plain dictionary of the table's entities."""
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    held = {(k, c) for t in docs.values() for _, _, k, c in S.find(t or "")}
+    keyed, attempts = S.Keyed(surrogate_key()), {x: 0 for x in held}
+    real, attempt = {(k, c) for k, c in held}, 0
+    while True:
+        attempt += 1
+        least = {}
+        for (k, c), a in attempts.items():
+            least[k, keyed.draw(k, c, a)] = min(least.get((k, keyed.draw(k, c, a)), (a, k, c)), (a, k, c))
+        bad = [x for x, a in attempts.items() if (x[0], keyed.draw(*x, a)) in real or least[x[0], keyed.draw(*x, a)] != (a, *x)]
+        if not bad:
+            break
+        attempts.update((x, attempt) for x in bad)
+    got = {r.doc_id: r for r in op7_surrogates(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == docs.keys()
+    for i, t in docs.items():
+        spans = S.find(t or "")
+        for a, e, k, c in reversed(spans):
+            t = t[:a] + S.render(k, keyed.draw(k, c, attempts[k, c]), t[a:e]) + t[e:]
+        assert (got[i].text, got[i].n_entities, got[i].kinds) == (t, len(spans), ",".join(sorted({k.split("-")[0] for _, _, k, _ in spans})))
