@@ -10,7 +10,12 @@ none has most punctuation after a letter, so every path passes those places, and
 there.  Units are searched once and cached; the N best paths of the text are the N least sums of the units' gaps,
 enumerated by a heap over the N-1 units of least gaps: a path of the N best changes no other unit.
 
-Scores are those of the model file, as whole numbers for a BPE model (minus the rank), so sums are exact.
+Many units are searched at once: the lattice of all of them is walked by position, and the first solution of each
+search, which follows the best arc from every position back (the estimate being exact), is taken for all together.
+
+A BPE model has no probabilities, but its merges are in the order of their frequency; scores are the log-probabilities of
+the Zipf-Mandelbrot law, log(1 / (rank + SHIFT)) less the logarithm of their sum, so no tokenizer is trained.  They are
+multiples of 2**-16, so sums are exact.
 """
 
 from __future__ import annotations
@@ -21,18 +26,25 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
-from math import inf
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_bytes, text_bytes
+from .common import by_bytes, ragged, text_bytes
 
 SPACE = "▁"
 PENALTY = 10.0
+#: Ranks are shifted by so many in the law of their frequencies.
+SHIFT = 100
 CACHE_UNITS = 600_000
+#: Bytes of text whose units are searched together.
+BATCH_BYTES = 1 << 20
+#: Characters of a unit that is searched together with others; longer ones are searched alone.
+SHORT = 64
+_NO = -1
 
 
 class Pieces:
@@ -53,14 +65,16 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
         self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.text)]
-        self.sizes = np.array([len(p) for p in self.plain])
-        low = [s for s, _ in self.score.values() if s > -1e8]  # symbols that only carry characters have no rank
-        self.byte_score = min(low) - PENALTY
-        self.score = {p: (max(s, self.byte_score + PENALTY), i) for p, (s, i) in self.score.items()}
-        self.score = {p: (s, (i,)) for p, (s, i) in self.score.items()}
+        ranks = {p: -v if v > -1e8 else inf for p, (v, _) in self.score.items()}  # symbols that only carry characters have no rank
+        last = max(r for r in ranks.values() if r < inf)
+        ranks = {p: min(r, last) for p, r in ranks.items()}
+        mass = log(sum(1 / (r + SHIFT) for r in ranks.values()))
+        self.score = {p: (-round(65536 * (log(ranks[p] + SHIFT) + mass)) / 65536, (i,)) for p, (_, i) in self.score.items()}
+        self.byte_score = min(v for v, _ in self.score.values()) - PENALTY
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
         self.cut = self._cutter()
         self.trie = {p: self.score.get(p, (0.0, ())) for p in self.prefixes | self.score.keys()}
+        self._index()
         self._clear()
 
     @classmethod
@@ -84,6 +98,20 @@ class Pieces:
         front = f"[^{SPACE}{one}{letter}]"
         return re.compile(f"{SPACE}*{front}*[{letter}]+(?:{other}{front}*[{letter}]*)*|{SPACE}*{front}+|{SPACE}+" + (f"|[{one}]" if one else ""))
 
+    def _index(self) -> None:
+        """The trie as arrays: sorted keys node * kinds + kind of the next character, the nodes they lead to, and the pieces at nodes."""
+        chars = sorted({c for p in self.score for c in p})
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        names = sorted(self.trie, key=len)
+        node = {"": 0} | {p: k + 1 for k, p in enumerate(names)}
+        self.kinds = len(chars) + 1
+        keys = np.array([node[p[:-1]] * self.kinds + int(self.kind[ord(p[-1])]) for p in names], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], (order + 1).astype(np.int32)
+        self.piece = np.array([_NO] + [self.score[p][1][0] if p in self.score else _NO for p in names], np.int32)
+        self.value = np.array([0.0] + [self.score[p][0] if p in self.score else 0.0 for p in names])
+
     def units(self, text: str) -> list[str]:
         """The text with a space in front and white space marked, cut at places that every path passes."""
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -138,6 +166,85 @@ class Pieces:
             out.append((-f, tuple(ids)))
         return out
 
+    def firsts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """first() of many units: scores, leads, all ids one after the other, and where each unit's ids end."""
+        if not units:
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        point = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[point].astype(np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(sizes) - sizes
+        unit = np.repeat(np.arange(len(units)), sizes)
+        place = ragged(sizes)
+        left = sizes[unit] - place
+        # arcs: from each character along the trie
+        at, node, k = np.arange(len(point)), np.zeros(len(point), np.int64), 0
+        arcs: list[list[np.ndarray]] = [[], [], [], []]  # first character, length, score, piece (or _NO - code point)
+        while len(at):
+            key = node * self.kinds + kind[at + k]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[where] == key
+            found, node = at[hit], self.child[where[hit]].astype(np.int64)
+            own = self.piece[node]
+            good = own != _NO
+            k += 1
+            for x, v in zip(arcs, (found[good], np.full(int(good.sum()), k), self.value[node[good]], own[good].astype(np.int64))):
+                x.append(v)
+            if k == 1:
+                alone = np.ones(len(point), bool)
+                alone[found[good]] = False
+                lone = np.flatnonzero(alone)
+                c = point[lone].astype(np.int64)
+                width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+                for x, v in zip(arcs, (lone, np.ones(len(lone), np.int64), self.byte_score * (width if self.bytes else np.ones(len(c))), _NO - 1 - c)):
+                    x.append(v)
+            more = left[found] > k
+            at, node = found[more], node[more]
+        start, size, value, piece = map(np.concatenate, arcs)
+        end = place[start] + size
+        order = np.lexsort((start, end))  # by end, then unit, then start: of equal ones the earlier start comes first
+        start, size, value, piece, end = start[order], size[order], value[order], piece[order], end[order]
+        # slots: a unit's positions, from 0 to its length
+        slot = start + unit[start]
+        into = slot + size
+        top, second, back = np.full(len(point) + len(units), -inf), np.full(len(point) + len(units), -inf), np.zeros(len(point) + len(units), np.int64)
+        top[begin + np.arange(len(units))] = 0.0
+        cuts = np.searchsorted(end, np.arange(1, int(sizes.max(initial=0)) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            v = top[slot[lo:hi]] + value[lo:hi]
+            own = into[lo:hi]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            best = np.maximum.reduceat(v, heads)
+            width = np.diff(np.append(heads, hi - lo))
+            pick = np.minimum.reduceat(np.where(v == np.repeat(best, width), np.arange(hi - lo), hi - lo), heads)
+            v[pick] = -inf
+            to = own[heads]
+            top[to], second[to], back[to] = best, np.maximum.reduceat(v, heads), lo + pick
+        last = begin + np.arange(len(units)) + sizes
+        lead, steps, whose = np.full(len(units), inf), [], []
+        now, live = last.copy(), np.arange(len(units))
+        while len(live):
+            here = now[live]
+            lead[live] = np.minimum(lead[live], top[here] - second[here])
+            arc = back[here]
+            steps.append(arc)
+            whose.append(live)
+            now[live] = slot[arc]
+            live = live[place[start[arc]] > 0]
+        steps, whose = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (steps, whose))
+        order = np.lexsort((start[steps], whose))
+        ids, whose = piece[steps[order]], whose[order]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):  # characters that no piece covers
+            spelled = [self.spelled(chr(int(_NO - 1 - ids[x])))[1] for x in odd]
+            n = np.ones(len(ids), np.int64)
+            n[odd] = [len(x) for x in spelled]
+            to = np.cumsum(n) - n
+            ids, whose = np.repeat(ids, n), np.repeat(whose, n)
+            for x, own in zip(to[odd].tolist(), spelled):
+                ids[x : x + len(own)] = own
+        return top[last], lead, ids.astype(np.int32), np.cumsum(np.bincount(whose, minlength=len(units)))
+
     def first(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
         """(best score, its lead over the second best, ids): forward Viterbi, and the first deviations of the search."""
         n, get = len(unit), self.trie.get
@@ -186,44 +293,63 @@ class Pieces:
         self.top, self.lead, self.start, self.flat = array("d"), array("d"), array("q", [0]), array("i")
 
     def _learn(self, new: set[str]) -> None:
+        short = [u for u in new if len(u) <= SHORT]
+        for s in range(0, len(short), 50_000):
+            part = short[s : s + 50_000]
+            score, lead, ids, ends = self.firsts(part)
+            self.place.update(zip(part, range(len(self.top), len(self.top) + len(part))))
+            base = len(self.flat)
+            self.top.frombytes(score.tobytes())
+            self.lead.frombytes(lead.tobytes())
+            self.flat.frombytes(ids.tobytes())
+            self.start.frombytes((base + ends).astype(np.int64).tobytes())
         for u in new:
-            score, lead, ids = self.first(u)
-            self.place[u] = len(self.top)
-            self.top.append(score)
-            self.lead.append(lead)
-            self.flat.extend(ids)
-            self.start.append(len(self.flat))
+            if len(u) > SHORT:
+                score, lead, ids = self.first(u)
+                self.place[u] = len(self.top)
+                self.top.append(score)
+                self.lead.append(lead)
+                self.flat.extend(ids)
+                self.start.append(len(self.flat))
+
+    def prepared(self, texts: list[str]) -> list[list[str]]:
+        """The units of some texts, all of which are then known."""
+        parts = [self.units(t) for t in texts]
+        new = set().union(*parts).difference(self.place)
+        if new:
+            if len(self.place) + len(new) > CACHE_UNITS:
+                self._clear()
+                new = set().union(*parts)
+            self._learn(new)
+        return parts
 
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The best segmentations of a whole text: (score, ids) in falling order; an empty text has one, empty."""
         return [(score, ids.tolist()) for score, ids, _ in self.paths(text)]
 
-    def paths(self, text: str) -> Iterator[tuple[float, np.ndarray, bytes]]:
-        """(score, ids, the bytes of all ids) of the best segmentations in falling order, each built when it is asked for."""
-        total, ids, leads, parts, ends = self.best_path(text)
+    def paths(self, text: str, parts: list[str] | None = None) -> Iterator[tuple[float, np.ndarray, bytes]]:
+        """(score, ids, the bytes of all ids) of the best segmentations in falling order, each built when it is asked for.
+
+        parts: the text's units if they are prepared.
+        """
+        parts = self.prepared([text])[0] if parts is None else parts
+        total, ids, leads, ends = self.best_path(parts)
         data = self.joined(ids.tolist())
         yield total, ids, data
         if self.best > 1 and parts:
             yield from self.others(total, ids, data, leads, parts, ends)
 
-    def best_path(self, text: str) -> tuple[float, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(score, ids, the units' leads, the units, where each one's ids end) of a text's best segmentation."""
-        parts = self.units(text)
-        new = set(parts).difference(self.place)
-        if new:
-            if len(self.place) + len(new) > CACHE_UNITS:
-                self._clear()
-                new = set(parts)
-            self._learn(new)
+    def best_path(self, parts: list[str]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """(score, ids, the units' leads, where each one's ids end) of the best segmentation of prepared units."""
         if not parts:
-            return 0.0, np.zeros(0, np.int32), np.zeros(0), parts, np.zeros(0, np.int64)
+            return 0.0, np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)
         k = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
         start = np.frombuffer(self.start, np.int64)
         at = start[k]
         n = start[k + 1] - at
         ends = np.cumsum(n)
         ids = np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(at - (ends - n), n)]
-        return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], parts, ends
+        return float(np.frombuffer(self.top)[k].sum()), ids, np.frombuffer(self.lead)[k], ends
 
     def others(self, total: float, ids: np.ndarray, data: bytes, leads: np.ndarray, parts: list[str], ends: np.ndarray) -> Iterator[tuple[float, np.ndarray, bytes]]:
         """The segmentations after the best one, from the units of least lead (of equal leads, the first in the text)."""
@@ -232,19 +358,19 @@ class Pieces:
         near = near[np.argsort(leads[near], kind="stable")][:wanted]
         gaps = [(float(leads[k]), int(k)) for k in near if leads[k] < inf]
         found_of = {k: self.search(parts[k], self.best) for _, k in gaps}
-        byte = np.concatenate([[0], np.cumsum(self.sizes[ids])])  # where each id's bytes begin
         made = 0
         # least sums: a state changes some of these units; a step worsens its last one or brings in a later one
         heap = [(g, ((k, 1),), 0) for g, k in gaps[:1]]
         while heap and made < wanted:
             gap, change, x = heappop(heap)
-            spliced, joined, at = [], [], 0
+            spliced, at, same = [], 0, True
             for k, j in sorted(change):
                 own, begin = found_of[k][j][1], ends[k - 1] if k else 0
                 spliced += [ids[at:begin], np.array(own, np.int32)]
-                joined += [data[byte[at] : byte[begin]], self.joined(own)]
                 at = ends[k]
-            yield total - gap, np.concatenate([*spliced, ids[at:]]), b"".join([*joined, data[byte[at] :]])
+                same = same and self.joined(own) == self.joined(ids[begin:at].tolist())
+            path = np.concatenate([*spliced, ids[at:]])
+            yield total - gap, path, data if same else self.joined(path.tolist())
             made += 1
             k, j = change[-1]
             found = found_of[k]
@@ -277,14 +403,16 @@ def _encode(path: str, best: int, keep: str):
         for b in batches:
             texts = [t or b"" for t in text_bytes(b.column("text"))]
             names = [c for c in b.schema.names if c != "text"]
-            for s, e in by_bytes(texts):
+            for s, e in by_bytes(texts, BATCH_BYTES):
                 scores, paths, kept = [], [], []
-                for t in texts[s:e]:
-                    text = t.decode("utf-8", "replace")
-                    sums, digests, held = [], [], []
-                    for score, ids, data in model.paths(text):
+                whole = [t.decode("utf-8", "replace") for t in texts[s:e]]
+                for text, parts in zip(whole, model.prepared(whole)):
+                    sums, digests, held, before, good = [], [], [], None, False
+                    for score, ids, data in model.paths(text, parts):
+                        if data is not before:
+                            before, good = data, model.plain_text(data) == text
                         sums.append(score)
-                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4", copy=False).tobytes()), "round_trip": model.plain_text(data) == text})
+                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4", copy=False)), "round_trip": good})
                         if keep == "all" or (keep == "first" and not held):
                             held.append(ids)
                     scores.append(sums)

@@ -94,7 +94,7 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), best=4, paths="none")
-    scores = F.concat_ws(",", F.transform("scores", lambda s: s.cast("long").cast("string")))
+    scores = F.concat_ws(",", F.transform("scores", lambda s: s.cast("string")))
     joined = [F.concat_ws(",", F.col(f"paths.{c}").cast("array<string>")).alias(f"nbest_{c}") for c in ("n_pieces", "ids_crc32", "round_trip")]
     return found.select("doc_id", "n_pieces", "ids_crc32", scores.alias("nbest_scores"), F.size("paths").alias("n_best"), "round_trip", *joined)
 

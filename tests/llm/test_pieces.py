@@ -79,3 +79,24 @@ def test_query_builds_every_path(spark):
 def test_bytes_of_each_path_are_those_of_its_ids(spark, model):
     texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").limit(40).collect()] + ["", "né ☃x", "a,b. c"]
     assert all(data == model.joined(ids.tolist()) for t in texts for _, ids, data in model.paths(t))
+
+
+def test_many_units_at_once_against_one_at_a_time(spark, model):
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").collect()] + ["né ☃x 😀日本語", "a,b. c", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    units = sorted({u for t in texts for u in model.units(t) if len(u) <= P.SHORT})
+    scores, leads, ids, ends = model.firsts(units)
+    begin = 0
+    for u, score, lead, end in zip(units, scores, leads, ends):
+        assert (score, lead, tuple(ids[begin:end].tolist())) == model.first(u), u
+        best = model.search(u, 2)
+        assert best[0] == (score, tuple(ids[begin:end].tolist())) and (len(best) == 1 or best[0][0] - best[1][0] == lead)
+        begin = end
+    assert [len(x) for x in model.firsts([])] == [0] * 4
+
+
+def test_scores_are_log_probabilities(model):
+    import sentencepiece
+
+    assert sum(np.exp(s) for s, _ in model.score.values()) == pytest.approx(1, abs=1e-3)
+    text = "the cat sat on the mat, internationalization of words"
+    assert model.nbest(text)[0][1] == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
