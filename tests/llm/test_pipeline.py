@@ -67,3 +67,21 @@ def test_stages_keep_columns_and_take_hard_rows(spark, k):
         whole = sorted(set(whole))
     assert sorted(kept) == ([x for x in whole if "words" in x] if k == 0 else whole)
     assert C.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pieces_stage_takes_hard_rows(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (None, "the words of the text", None), (4, "the words of the text", "c"), (4, "the words of the text", "c"), (5, "word " * 30_000, "d"), (6, "\u2603\u0000\ud7ff x", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = C.pieces(spark, docs, SF).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and all(r.round_trip for r in got)
+    assert [(by_id[i].n_pieces, by_id[i].ids, by_id[i].next_ids, by_id[i].score) for i in (1, 2)] == [(0, [], None, 0.0)] * 2
+    assert by_id[None].ids == by_id[4].ids and by_id[4].next_ids != by_id[4].ids and by_id[4].score >= by_id[4].next_score
+    assert by_id[5].n_pieces >= 30_000
+    assert C.pieces(spark, docs.limit(0), SF).count() == 0
+
+
+def test_private_stage_keeps_a_column_named_spans(spark):
+    docs = spark.createDataFrame([(1, "call +1 (269) 555-3296", "own")], "doc_id long, text string, spans string")
+    got = C.private(spark, docs, SF)
+    assert got.columns == docs.columns and got.first().spans == "own" and got.first().text != docs.first().text
