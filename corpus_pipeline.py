@@ -22,17 +22,28 @@ LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or without one language that prevails, go."""
+    """Documents with a language; those without a letter, or without one language that prevails, go.
+
+    Null and empty texts have no letter and go; ties of languages go to the first in alphabetical order; repeated
+    rows share a fate; the model is trained on docs itself, so a table without labelled rows keeps none; columns stay as they are.
+    """
     return accept(docs, train(docs.where(fold() != 2)), LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of the smallest doc_id, null ids last.
+
+    Null, empty and blank texts are one group (fingerprint 0); of repeated rows one stays; columns of any name stay; an
+    empty table stays empty.
+    """
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item.  Texts are told apart by digest: equal texts share a fate."""
+    """Documents without a window of any benchmark item.  Texts are told apart by digest: equal texts share a fate.
+
+    Null and empty texts have no words and stay, as do repeated rows and rows without an id; an empty benchmark takes none.
+    """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     found = contamination(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = found.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
@@ -40,13 +51,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; n_chars follows the new text."""
-    out = pseudonymize(docs, surrogate_key()).select(*docs.columns)
+    """Personal data replaced by surrogates; n_chars, if there is one, follows the new text.
+
+    No row goes; a null text stays null, equal texts stay equal, other columns stay as they are (a column named spans too).
+    """
+    spans = {"spans": "__spans"} if "spans" in docs.columns else {}
+    out = pseudonymize(docs.withColumnsRenamed(spans), surrogate_key()).drop("spans").withColumnsRenamed({v: k for k, v in spans.items()}).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The two best segmentations of each text: doc_id, n_pieces, ids_crc32, ids, score, next_score, next_ids, round_trip (of both)."""
+    """The two best segmentations of each text: doc_id, n_pieces, ids_crc32, ids, score, next_score, next_ids, round_trip (of both).
+
+    A null text is an empty one: no pieces, and no second segmentation (null); repeated rows are encoded each; equal
+    scores keep the search's order; other columns are left out; an empty table gives no rows.
+    """
     found = encode(docs, tokenizer_file("piece_bpe_32k.model"), best=2)
     score, ids = ([F.try_element_at(c, F.lit(k)) for k in (1, 2)] for c in ("scores", "ids"))
     whole = F.forall("paths", lambda p: p["round_trip"])
