@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,18 @@ def _window_rows(window: int):
     return run
 
 
-def _shingles_of(window: str) -> list[tuple[str, int]]:
-    words = window.split(" ")
-    k = min(SHINGLE, len(words))
-    return [(" ".join(words[i : i + k]), i) for i in range(len(words) - k + 1)]
+def _shingle_rows(batches):
+    """The shingles of each window, with their places and keys."""
+    for b in batches:
+        rows = []
+        for window in b.column("window").to_pylist():
+            words = window.split(" ")
+            k = min(SHINGLE, len(words))
+            for i in range(len(words) - k + 1):
+                shingle = " ".join(words[i : i + k])
+                rows.append((window, len(words), shingle, i, _key(shingle)))
+        columns = zip(*rows) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["window", "length", "shingle", "at", "key"])
 
 
 def _key(shingle: str) -> int:
@@ -151,11 +159,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10, broa
     windows = written(items.select("item_id", "text").mapInArrow(_window_rows(window), "item_id string, window string").distinct(), "windows")
     # window -> its items; the number of a window is its text's digest, never a position
     of_window = windows.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    shingles = F.udf(_shingles_of, T.ArrayType(T.StructType([T.StructField("shingle", T.StringType()), T.StructField("at", T.LongType())])))
-    keyed = F.udf(_key, T.LongType())
-    parts = written(
-        of_window.select("window", F.size(F.split("window", " ")).cast("long").alias("length"), F.explode(shingles("window")).alias("s")).select("window", "length", "s.shingle", "s.at", keyed("s.shingle").alias("key")), "shingles"
-    )
+    parts = written(of_window.select("window").mapInArrow(_shingle_rows, "window string, length long, shingle string, at long, key long"), "shingles")
     kinds = parts.select("shingle").distinct()
     schema = T.StructType([T.StructField("__rid", T.LongType()), documents.schema["doc_id"], *T._parse_datatype_string("n_words long, places array<long>, keys array<long>").fields])
     small = size_of(kinds, "shingle") <= broadcast_bytes
@@ -186,14 +190,14 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10, broa
     need = candidates.join(parts.select("window", "key", "at"), "window").select("__rid", "window", "length", "start", "key", (F.col("start") + F.col("at")).alias("place"))
     there = need.join(hits.select("__rid", "place", "key").withColumn("there", F.lit(1)), ["__rid", "place", "key"], "left")
     verified = there.groupBy("__rid", "window", "length", "start").agg(F.min(F.coalesce("there", F.lit(0))).alias("whole")).where("whole = 1")
-    spans = verified.groupBy("__rid").agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to")))).alias("spans"))
-    merged = F.expr(
-        """aggregate(spans, cast(array() as array<struct<from:bigint,to:bigint>>), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).to >= x.from,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).from, 'to', greatest(element_at(a, -1).to, x.to)))),
-           concat(a, array(x))))"""
-    )
-    spans = spans.select("__rid", merged.alias("spans"))
+    # overlapping ranges of a document become one: a range opens where it begins after all before it have ended
+    ranges = verified.select("__rid", F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to")).distinct()
+    order = Window.partitionBy("__rid").orderBy("from", "to")
+    ended = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("opens", F.when(ended >= F.col("from"), 0).otherwise(1))
+    ranges = ranges.withColumn("range", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = ranges.groupBy("__rid", "range").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    spans = ranges.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
     found = verified.select("__rid", "window").distinct().join(of_window, "window").select("__rid", F.explode("items").alias("item"))
     found = found.groupBy("__rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return (

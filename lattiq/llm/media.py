@@ -148,9 +148,11 @@ def store(documents: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Writes the payloads of documents(doc_id, text) and returns (recipes, chunks).
 
     recipes(__rid, doc_id, n_bytes, sha256, chunks array<struct<digest,length>>), chunks(digest, length, pack,
-    at, size): one row for each distinct chunk.
+    at, size): one row for each distinct chunk.  doc_id must be of an integer type, else a TypeError.
     """
-    docs = with_row_key(documents.select("doc_id", "text"))
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be of an integer type")
+    docs = with_row_key(documents.select(F.col("doc_id").cast("long"), "text"))
     kind = T._parse_datatype_string("__rid long, doc_id long, n_bytes long, sha256 binary, chunks array<struct<digest:binary,length:long,pack:string,at:long,size:long>>")
     recipes = written(docs.mapInArrow(_store(folder), kind), "recipes")
     each = recipes.select(F.explode("chunks").alias("c")).select("c.*")
