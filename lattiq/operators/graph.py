@@ -2,37 +2,147 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import durable
 from ..schema import BRANCHES, FUNCTION_LIKE, edge_type_ord
 
+#: Edges that may be sent to every executor, at 16 or 24 bytes each; beyond it closures are rounds of joins.
+BROADCAST_EDGES = 1 << 19
+
+
+def scoped_by_project(df: DataFrame) -> DataFrame:
+    """df with a project column, empty where it has none: names are known inside one project only."""
+    return df.withColumn("project", F.coalesce("project", F.lit("")) if "project" in df.columns else F.lit(""))
+
 
 def entry_points(nodes: DataFrame, scoped: bool = True) -> DataFrame:
-    """Public or External functions that no interface declares.
+    """Public or External functions that no interface of their project declares.
 
     scoped: an interface counts only if it is its own scope (storage analysis); else by its name alone (diagrams).
     """
-    faces = nodes.where("node_type = 'Interface'" + (" and name = contract_name" if scoped else "")).select(F.col("name").alias("__iface")).distinct()
-    found = nodes.where("node_type = 'Function' and visibility in ('Public', 'External')")
-    return found.join(faces, F.col("contract_name") == F.col("__iface"), "left_anti")
-
-
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    own = scoped_by_project(nodes)
+    faces = own.where("node_type = 'Interface'" + (" and name = contract_name" if scoped else "")).select(F.col("name").alias("__iface"), F.col("project").alias("__project")).distinct()
+    found = own.where("node_type = 'Function' and visibility in ('Public', 'External')")
+    return found.join(faces, (F.col("contract_name") == F.col("__iface")) & (F.col("project") == F.col("__project")), "left_anti").select(*nodes.columns)
+
+
+class _Steps:
+    """A bounded edge list by source: nodes are numbered, a node's edges follow each other in order."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, ord_: np.ndarray | None = None):
+        self.ids = np.unique(np.concatenate([src, dst]))
+        a, b = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        order = np.lexsort((b, a) if ord_ is None else (b, ord_, a))
+        self.dst, self.ord = b[order], None if ord_ is None else ord_[order]
+        self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+
+    def number(self, nodes: np.ndarray) -> np.ndarray:
+        """The numbers of nodes, -1 for those without edges."""
+        if not len(self.ids):
+            return np.full(len(nodes), -1)
+        k = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[k] == nodes, k, -1)
+
+    def reach(self, seed: int, stamp: np.ndarray, mark: int) -> np.ndarray:
+        """All that is reachable from a node, itself included; stamp holds the marks of the walks before."""
+        stamp[seed] = mark
+        parts = [now := np.array([seed])]
+        while len(now):
+            lo, n = self.start[now], self.start[now + 1] - self.start[now]
+            ends = np.cumsum(n)
+            found = self.dst[np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)]
+            now = np.unique(found[stamp[found] != mark])
+            stamp[now] = mark
+            parts.append(now)
+        return np.concatenate(parts)
+
+    def preorder(self, seed: int) -> Iterator[tuple[int, list[int]]]:
+        """(node, ordinals of the edges to it) in the order of a depth-first walk."""
+        seen, path = {seed}, []
+        yield seed, []
+        todo = [(int(self.start[seed]), int(self.start[seed + 1]))]
+        while todo:
+            at, end = todo[-1]
+            if at == end:
+                todo.pop()
+                if path:
+                    path.pop()
+                continue
+            todo[-1] = (at + 1, end)
+            node = int(self.dst[at])
+            if node not in seen:
+                seen.add(node)
+                path.append(int(self.ord[at]))
+                yield node, list(path)
+                todo.append((int(self.start[node]), int(self.start[node + 1])))
+
+
+def _bounded(edges: DataFrame, limit: int) -> pa.Table | None:
+    """The rows of edges if there are no more than limit of them."""
+    rows = edges.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
+
+
+def _walker(steps: _Steps, ordered: bool):
+    """mapInArrow function over seeds(entry, node)."""
+
+    def run(batches):
+        stamp, mark = np.zeros(len(steps.ids), np.int64), 0
+        for b in batches:
+            entries, nodes = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("entry", "node"))
+            numbers = steps.number(nodes).tolist()
+            out_entry, out_node, paths, held = [], [], [], 0
+            for entry, node, k in zip(entries.tolist(), nodes.tolist(), numbers):
+                if ordered:
+                    walk = [(node, [])] if k < 0 else [(int(steps.ids[x]), path) for x, path in steps.preorder(k)]
+                    found = np.array([x for x, _ in walk], np.int64)
+                    paths += [path for _, path in walk]
+                else:
+                    mark += 1
+                    found = np.array([node]) if k < 0 else steps.ids[steps.reach(k, stamp, mark)]
+                out_entry.append(np.full(len(found), entry))
+                out_node.append(found)
+                held += len(found)
+                if held >= 1 << 18:
+                    yield _walked(out_entry, out_node, paths if ordered else None)
+                    out_entry, out_node, paths, held = [], [], [], 0
+            if held:
+                yield _walked(out_entry, out_node, paths if ordered else None)
+
+    return run
+
+
+def _walked(entries: list, nodes: list, paths: list | None) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(entries)), pa.array(np.concatenate(nodes))] + ([] if paths is None else [pa.array(paths, pa.list_(pa.int64()))])
+    return pa.RecordBatch.from_arrays(columns, ["entry", "node", "path"][: len(columns)])
+
+
+def closure(edges: DataFrame, seeds: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
     """(entry, node) reachable over edges(src, dst) from seeds(entry, node), the seeds included.
 
-    A frontier loop: each round joins only what the last one found and keeps what is new.  Rounds are as many as
-    the longest shortest path; each is checkpointed.
+    A graph of at most ``limit`` edges is sent to every executor and walked from each seed there.  A larger one
+    takes a frontier loop: each round joins only what the last one found, keeps what no round before has found,
+    and writes that alone.  Rounds are as many as the longest shortest path.
     """
-    steps = durable(edges.select("src", "dst").distinct())
-    reach = frontier = durable(seeds.select("entry", "node").distinct())
+    steps = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src is not null and dst is not null").distinct()
+    start = seeds.select(F.col("entry").cast("bigint").alias("entry"), F.col("node").cast("bigint").alias("node")).distinct()
+    if (small := _bounded(steps, limit)) is not None:
+        held = _Steps(small.column("src").to_numpy(), small.column("dst").to_numpy())
+        return start.mapInArrow(_walker(held, False), "entry bigint, node bigint").distinct()
+    steps = durable(steps)
+    reach = frontier = durable(start)
     while True:
         found = frontier.join(steps, frontier["node"] == steps["src"]).select("entry", F.col("dst").alias("node")).distinct()
         frontier = durable(found.join(reach, ["entry", "node"], "left_anti"))
         if frontier.isEmpty():
             return reach
-        reach = durable(reach.unionByName(frontier))
+        reach = reach.unionByName(frontier)
 
 
 def call_steps(edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
@@ -54,27 +164,34 @@ def reach_agg(nodes: DataFrame, edges: DataFrame, node_filter: Column, aggs: lis
     return pairs.select("entry").distinct().join(joined.groupBy("entry").agg(*aggs), "entry", "left")
 
 
-def ordered_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def ordered_closure(edges: DataFrame, seeds: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
     """(entry, node, path): depth-first pre-order is the order of path.
 
     edges(src, dst, ord).  A node's path is the smallest sequence of edge ordinals of a simple path to it; the
     depth-first tree consists of those, and a prefix of one is one itself, so only the minimum of each node is
-    kept between rounds.
+    kept between rounds, and only labels that changed in a round go on.  A graph of at most ``limit`` edges is
+    sent to every executor and walked there.
     """
-    steps = durable(edges.select("src", "dst", F.col("ord").cast("bigint").alias("ord")))
+    steps = edges.select(*[F.col(c).cast("bigint").alias(c) for c in ("src", "dst", "ord")]).where("src is not null and dst is not null")
+    start = seeds.select(F.col("entry").cast("bigint").alias("entry"), F.col("node").cast("bigint").alias("node")).distinct()
+    if (small := _bounded(steps, limit)) is not None:
+        held = _Steps(*(small.column(c).to_numpy() for c in ("src", "dst", "ord")))
+        return start.mapInArrow(_walker(held, True), "entry bigint, node bigint, path array<bigint>").groupBy("entry", "node").agg(F.min("path").alias("path"))
+    steps = durable(steps)
     empty = F.array().cast("array<bigint>")
-    labels = durable(seeds.select("entry", "node").distinct().select("entry", "node", empty.alias("path"), F.array(F.col("node")).alias("seen")))
+    best = lambda t: t.groupBy("entry", "node").agg(F.min(F.struct("path", "seen")).alias("l")).select("entry", "node", "l.path", "l.seen")
+    labels = changed = durable(start.select("entry", "node", empty.alias("path"), F.array(F.col("node")).alias("seen")))
     while True:
         longer = (
-            labels.join(steps, labels["node"] == steps["src"])
+            changed.join(steps, changed["node"] == steps["src"])
             .where(~F.array_contains("seen", F.col("dst")))
             .select("entry", F.col("dst").alias("node"), F.concat("path", F.array("ord")).alias("path"), F.concat("seen", F.array("dst")).alias("seen"))
         )
-        best = longer.unionByName(labels).groupBy("entry", "node").agg(F.min(F.struct("path", "seen")).alias("l")).select("entry", "node", "l.path", "l.seen")
-        best = durable(best)
-        if best.join(labels.select("entry", "node", F.col("path").alias("old")), ["entry", "node"], "left").where("old is null or old <> path").isEmpty():
-            return best.select("entry", "node", "path")
-        labels = best
+        old = best(labels).select("entry", "node", F.col("path").alias("old"))
+        changed = durable(best(longer).join(old, ["entry", "node"], "left").where("old is null or path < old").drop("old"))
+        if changed.isEmpty():
+            return best(labels).select("entry", "node", "path")
+        labels = labels.unionByName(changed)
 
 
 def storage_access(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
@@ -103,21 +220,23 @@ def qualified(contract: Column, name: Column) -> Column:
 
 
 def storage_report(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
-    """endpoint, reads, writes as text, sorted by endpoint; variables sorted and joined by commas, null where none."""
+    """entry, endpoint, reads, writes as text, in no order; variables sorted and joined by commas, empty where none."""
     access = storage_access(nodes, edges, follow_control_flow)
     label = nodes.select(F.col("id"), qualified(F.col("contract_name"), F.col("name")).alias("label"))
     named = access.join(label.select(F.col("id").alias("var"), F.col("label").alias("variable")), "var")
     text = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("edge_type") == t, F.col("variable")))), ", ").alias(n) for t, n in (("StorageRead", "reads"), ("StorageWrite", "writes"))]
     entries = entry_points(nodes).select(F.col("id").alias("entry"), qualified(F.col("contract_name"), F.col("name")).alias("endpoint"))
     out = entries.join(named.groupBy("entry").agg(*text), "entry", "left")
-    return out.select("entry", "endpoint", *[F.coalesce(n, F.lit("")).alias(n) for n in ("reads", "writes")]).orderBy("endpoint", "entry")
+    return out.select("entry", "endpoint", *[F.coalesce(n, F.lit("")).alias(n) for n in ("reads", "writes")])
 
 
-def find_function(nodes: DataFrame, qualified_name: str) -> DataFrame:
-    """The first Function node of Contract.function (exactly two parts), or no row."""
+def find_function(nodes: DataFrame, qualified_name: str, project: str | None = None) -> DataFrame:
+    """The first Function node of Contract.function (exactly two parts), in a project if one is named, or no row."""
     parts = qualified_name.split(".")
     if len(parts) != 2:
         raise ValueError(f"expected Contract.function, got {qualified_name!r}")
+    if project is not None:
+        nodes = nodes.where(F.col("project") == project)
     return nodes.where((F.col("node_type") == "Function") & (F.col("contract_name") == parts[0]) & (F.col("name") == parts[1])).orderBy("id").limit(1)
 
 
@@ -125,7 +244,7 @@ def ordered_trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataF
     """entry, ord, function_id, var, edge_type, edge_id: storage accesses in the order of a depth-first walk of calls.
 
     Functions come in pre-order; inside one, accesses are sorted by the start of its first edge with the same
-    variable and type, then by edge.
+    variable and type, then by edge, its type and its variable (ids of edges needn't be unique).
     """
     calls = edges.where("edge_type = 'Call'").select(F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), F.col("edge_id").alias("ord"))
     walk = ordered_closure(calls, seeds)
@@ -133,15 +252,15 @@ def ordered_trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataF
     touch = edges.where("edge_type in ('StorageRead', 'StorageWrite')").select(F.col("source_node_id").alias("node"), F.col("target_node_id").alias("var"), "edge_type", "edge_id", F.col("call_site_span.start").alias("at"))
     same = Window.partitionBy("node", "var", "edge_type").orderBy("edge_id")
     touch = touch.withColumn("first_at", F.first("at").over(same)).join(functions, "node", "left_semi")
-    order = Window.partitionBy("entry").orderBy("path", F.col("first_at").asc_nulls_first(), "edge_id")
+    order = Window.partitionBy("entry").orderBy("path", F.col("first_at").asc_nulls_first(), "edge_id", "edge_type", "var")
     return walk.join(touch, "node").withColumn("ord", F.row_number().over(order)).select("entry", "ord", F.col("node").alias("function_id"), "var", "edge_type", "edge_id")
 
 
 def compare_traces(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """variable, ops_1, ops_2 of two traces(variable, ord, op): a full outer join; operations in order, '-' where none."""
+    """variable, ops_1, ops_2 of two traces(variable, ord, op), in no order: a full outer join; operations in order, '-' where none."""
     keys = [*(keys or []), "variable"]
     side = lambda t, n: t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "op"))), lambda x: x["op"]), ", ").alias(n))
-    return side(a, "ops_1").join(side(b, "ops_2"), keys, "full_outer").select(*keys, F.coalesce("ops_1", F.lit("-")).alias("ops_1"), F.coalesce("ops_2", F.lit("-")).alias("ops_2")).orderBy(*keys)
+    return side(a, "ops_1").join(side(b, "ops_2"), keys, "full_outer").select(*keys, F.coalesce("ops_1", F.lit("-")).alias("ops_1"), F.coalesce("ops_2", F.lit("-")).alias("ops_2"))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -174,12 +293,13 @@ def edge_totals(edges: DataFrame) -> DataFrame:
 
 
 def contract_rollup(nodes: DataFrame) -> DataFrame:
-    """contract, has_constructor, constructor_parameters (of the last), functions (in node order; none for interfaces)."""
-    faces = nodes.where("node_type = 'Interface'").select(F.col("name").alias("contract_name")).distinct().withColumn("__face", F.lit(True))
-    rows = nodes.where("contract_name is not null").join(faces, "contract_name", "left")
+    """project, contract, has_constructor, constructor_parameters (of the last), functions (in node order; none for interfaces)."""
+    nodes = scoped_by_project(nodes)
+    faces = nodes.where("node_type = 'Interface'").select("project", F.col("name").alias("contract_name")).distinct().withColumn("__face", F.lit(True))
+    rows = nodes.where("contract_name is not null").join(faces, ["project", "contract_name"], "left")
     is_ctor = F.col("node_type") == "Constructor"
     functions = F.when((F.col("node_type") == "Function") & F.col("__face").isNull(), F.struct("id", "name", "parameters", F.lit("public").alias("visibility"), "declared_return_type"))
-    return rows.groupBy(F.col("contract_name").alias("contract")).agg(
+    return rows.groupBy("project", F.col("contract_name").alias("contract")).agg(
         F.bool_or(is_ctor).alias("has_constructor"),
         F.max_by(F.when(is_ctor, F.col("parameters")), F.when(is_ctor, F.col("id"))).alias("constructor_parameters"),
         F.array_sort(F.collect_list(functions)).alias("functions"),
@@ -187,15 +307,16 @@ def contract_rollup(nodes: DataFrame) -> DataFrame:
 
 
 def require_edges_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """function_id, contract_name, function_name, edge_index (from 0), condition_id, condition_expression, revert_message.
+    """project, function_id, contract_name, function_name, edge_index (from 0), condition_id, condition_expression, revert_message.
 
-    A function is the first node of its (contract, name).
+    A function is the first node of its (project, contract, name).
     """
-    first = nodes.where("node_type = 'Function'").groupBy("contract_name", F.col("name").alias("function_name")).agg(F.min("id").alias("function_id"))
+    nodes = scoped_by_project(nodes)
+    first = nodes.where("node_type = 'Function'").groupBy("project", "contract_name", F.col("name").alias("function_name")).agg(F.min("id").alias("function_id"))
     needs = edges.where("edge_type = 'Require'").select(F.col("source_node_id").alias("function_id"), F.col("target_node_id").alias("condition_id"), "edge_id")
-    place = Window.partitionBy("function_id").orderBy("edge_id")
+    place = Window.partitionBy("function_id").orderBy("edge_id", "condition_id")
     conditions = nodes.where("node_type = 'RequireCondition'").select(F.col("id").alias("condition_id"), "condition_expression", "revert_message")
-    return first.join(needs.withColumn("edge_index", F.row_number().over(place) - 1), "function_id").join(conditions, "condition_id").select("function_id", "contract_name", "function_name", "edge_index", "condition_id", "condition_expression", "revert_message")
+    return first.join(needs.withColumn("edge_index", F.row_number().over(place) - 1), "function_id").join(conditions, "condition_id").select("project", "function_id", "contract_name", "function_name", "edge_index", "condition_id", "condition_expression", "revert_message")
 
 
 ACCESS_WORDS = ["msg.sender", "owner", "admin", "role", "authorized", "permission"]
@@ -213,18 +334,24 @@ def needs_prank(condition: Column) -> Column:
 
 
 def writes_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """function_id, contract_name, function_name, var, variable, write_index: one row for each write edge, repeats kept."""
-    functions = nodes.where("node_type = 'Function'").select(F.col("id").alias("function_id"), "contract_name", F.col("name").alias("function_name"))
+    """project, function_id, contract_name, function_name, var, variable, write_index: one row for each write edge, repeats kept."""
+    nodes = scoped_by_project(nodes)
+    functions = nodes.where("node_type = 'Function'").select("project", F.col("id").alias("function_id"), "contract_name", F.col("name").alias("function_name"))
     variables = nodes.where("node_type = 'StorageVariable'").select(F.col("id").alias("var"), F.col("name").alias("variable"), F.col("visibility").alias("variable_visibility"))
     writes = edges.where("edge_type = 'StorageWrite'").select(F.col("source_node_id").alias("function_id"), F.col("target_node_id").alias("var"), "edge_id")
-    place = Window.partitionBy("function_id").orderBy("edge_id")
+    place = Window.partitionBy("function_id").orderBy("edge_id", "var")
     return writes.withColumn("write_index", F.row_number().over(place) - 1).join(functions, "function_id").join(variables, "var")
 
 
 def source_path_map(units: DataFrame, manifest: DataFrame) -> DataFrame:
-    """contract, path: the file that the manifest names for the contract, else the file's stem plus .sol."""
-    named = manifest.where("item_kind = 'Contract'").groupBy(F.col("item_name").alias("contract")).agg(F.min("file_path").alias("file_path"))
-    return units.select(F.col("name").alias("contract")).distinct().join(named, "contract", "left").select("contract", F.coalesce("file_path", F.concat("contract", F.lit(".sol"))).alias("path"))
+    """project, contract, path: the file that the manifest names for the contract, else the contract's name plus .sol.
+
+    A manifest without projects holds for all of them.
+    """
+    by = ["project", "contract"] if "project" in manifest.columns else ["contract"]
+    named = manifest.where("item_kind = 'Contract'").withColumnRenamed("item_name", "contract").groupBy(*by).agg(F.min("file_path").alias("file_path"))
+    own = scoped_by_project(units).select("project", F.col("name").alias("contract")).distinct()
+    return own.join(named, by, "left").select("project", "contract", F.coalesce("file_path", F.concat("contract", F.lit(".sol"))).alias("path"))
 
 
 def last_return(edges: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def to_json_rows(graph: CodeGraph, exclude_isolated: bool = False) -> tuple[Data
     """(nodes, edges, metadata), each a row of JSON text (nulls kept) by ord; metadata is one row."""
     nodes = connected_nodes(graph.nodes, graph.edges) if exclude_isolated else graph.nodes
     keep = {"ignoreNullFields": "false"}
-    n = nodes.select(F.col("id").alias("ord"), F.to_json(F.struct(*nodes.columns), keep).alias("json"))
-    e = graph.edges.select(F.col("edge_id").alias("ord"), F.to_json(F.struct(*[c for c in graph.edges.columns if c != "edge_id"]), keep).alias("json"))
+    n = nodes.select(F.col("id").alias("ord"), F.to_json(F.struct(*[c for c in nodes.columns if c != "project"]), keep).alias("json"))
+    e = graph.edges.select(F.col("edge_id").alias("ord"), F.to_json(F.struct(*[c for c in graph.edges.columns if c not in ("edge_id", "project")]), keep).alias("json"))
     return n.orderBy("ord"), e.orderBy("ord"), graph_metadata(graph.nodes, graph.edges, exclude_isolated).select(F.to_json(F.struct("*")).alias("json"))
 
 

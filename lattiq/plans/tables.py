@@ -102,7 +102,7 @@ def _(spark, d):
     return found.select("entry", F.size("reads").cast("bigint").alias("n_reads"), F.size("writes").cast("bigint").alias("n_writes"), F.expr("aggregate(reads, 0L, (a, x) -> a + x)").alias("read_sum"))
 
 
-@query("gq6_ordered_trace", f"""{BASE} SELECT c.source_node_id AS entry, row_number() OVER (PARTITION BY c.source_node_id ORDER BY c.edge_id, t.first_at, t.edge_id)::BIGINT AS ord, t.source_node_id AS function_id, t.target_node_id AS var, t.edge_type
+@query("gq6_ordered_trace", f"""{BASE} SELECT c.source_node_id AS entry, row_number() OVER (PARTITION BY c.source_node_id ORDER BY c.edge_id, t.first_at, t.edge_id, t.edge_type, t.target_node_id)::BIGINT AS ord, t.source_node_id AS function_id, t.target_node_id AS var, t.edge_type
  FROM edges c JOIN (SELECT *, first_value(pos) OVER (PARTITION BY source_node_id, target_node_id, edge_type ORDER BY edge_id) AS first_at FROM edges WHERE edge_type LIKE 'Storage%') t ON c.edge_type = 'Call' AND c.target_node_id = t.source_node_id JOIN entries ON id = c.source_node_id""")
 def _(spark, d):
     nodes = nodes_of(spark, d)
@@ -180,7 +180,7 @@ def _(spark, d):
 def _(spark, d):
     nation = _t(spark, d, "nation")
     manifest = _t(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("'Contract' as item_kind", "n_name as item_name", "s_name as file_path")
-    return G.source_path_map(nation.selectExpr("n_name as name"), manifest)
+    return G.source_path_map(nation.selectExpr("n_name as name"), manifest).select("contract", "path")
 
 
 @query("ord1_stable_sort", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts, event_id) AS place FROM events")

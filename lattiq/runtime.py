@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -27,3 +29,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Writes a file at a path or URI under a passing name and renames it; usable on executors."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        files, path = fs.LocalFileSystem(), os.path.abspath(uri)
+    else:
+        files, path = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    files.create_dir(os.path.dirname(path), recursive=True)
+    passing = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(passing) as out:
+        out.write(data)
+    files.move(passing, path)
