@@ -303,25 +303,24 @@ def _(spark, d):
     return R.contained(inner, outer, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query("ext4_implements", "SELECT n_name AS contract, r_name AS iface FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN (SELECT r_name FROM region WHERE r_regionkey % 2 = 0)")
+@query("ext14_manifest_query", "SELECT p_partkey AS ord FROM part WHERE p_size % 3 = 0 AND lower(p_name) LIKE '%a%'")
 def _(spark, d):
-    region = _t(spark, d, "region")
-    inherits = _t(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("n_name as contract", "r_name as iface")
-    return inherits.join(region.where("r_regionkey % 2 = 0").selectExpr("r_name as iface"), "iface", "left_semi").select("contract", "iface")
-
+    from ..functions.natspec import manifest_query
 
-@query("ext9_default_constructors", "SELECT c_name AS name, 'explicit' AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_name, 'default' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def _(spark, d):
-    units = _t(spark, d, "customer").selectExpr("c_custkey", "c_name as name")
-    own = _t(spark, d, "orders").selectExpr("o_custkey as c_custkey")
-    return units.join(own, "c_custkey", "left_semi").select("name", F.lit("explicit").alias("kind")).unionByName(units.join(own, "c_custkey", "left_anti").select("name", F.lit("default").alias("kind")))
+    kind = F.element_at(F.array(F.lit("Function"), F.lit("Contract"), F.lit("Event")), (F.col("p_size") % 3 + 1).cast("int"))
+    entries = _t(spark, d, "part").select(F.col("p_partkey").alias("ord"), kind.alias("item_kind"), F.col("p_name").alias("item_name"))
+    return manifest_query(entries, "Function", "A").select("ord")
 
 
-@query("ext14_manifest_query", "SELECT p_partkey FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) OR (p_size > 10 AND p_name ILIKE '%a%')")
+@query("ext15_natspec_items", """WITH t AS (SELECT p_partkey, unnest([('Title', NULL, p_name), ('Dev', NULL, p_type || ' more of ' || p_size), ('Param', 'a' || p_size, 'the size'), ('Custom', 'binds-to', p_brand), ('Return', NULL, 'r the rest')]) AS i, unnest([0, 1, 2, 3, 4]) AS ord FROM part WHERE p_partkey % 3 > 0
+ UNION ALL SELECT p_partkey, ('Notice', NULL, p_name || ' it is'), 0 FROM part WHERE p_partkey % 6 = 0) SELECT p_partkey, ord::INT AS ord, i[1] AS kind, i[2] AS name, trim(regexp_replace(i[3], ' +', ' ', 'g')) AS comment FROM t""")
 def _(spark, d):
-    part = _t(spark, d, "part")
-    least = part.agg(F.min("p_brand").alias("b"))  # one row
-    return part.crossJoin(F.broadcast(least)).where((F.col("p_brand") == F.col("b")) | ((F.col("p_size") > 10) & F.lower("p_name").contains("a"))).select("p_partkey")
+    from ..functions.natspec import parse_natspec
+
+    block = F.expr("concat('/**\n * @title ', p_name, '\n * @dev ', p_type, '\n *   more of ', p_size, '\n * @param a', p_size, ' the size\n * @custom:binds-to ', p_brand, '\n * @return r the rest\n */')")
+    line = F.expr("if(p_partkey % 6 = 0, concat('/// ', p_name, ' it is'), concat('// ', p_name))")
+    rows = _t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, block).otherwise(line).alias("text"))
+    return parse_natspec(rows, "text").select("p_partkey", F.col("ord").cast("int").alias("ord"), "kind", "name", F.trim(F.regexp_replace("comment", r"\s+", " ")).alias("comment"))
 
 
 def _lines(spark, d):
@@ -331,15 +330,11 @@ def _lines(spark, d):
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL)"
 
 
-@query("ext15_natspec_lines", f"WITH {_LINES} SELECT doc_id, line::INT AS line, CASE WHEN s LIKE '@%' THEN regexp_extract(s, '^@([a-z:-]+)', 1) ELSE 'notice' END AS kind, trim(s) AS comment FROM l WHERE trim(s) <> ''")
+@query("dg2_participants", f"{BASE} SELECT 'participant ' || regexp_replace(c, '[^0-9A-Za-z_]', '_', 'g') || CASE WHEN regexp_matches(c, '[^0-9A-Za-z_]') THEN ' as \"' || c || '\"' ELSE '' END AS line, min(id) AS ord FROM (SELECT coalesce(contract_name, '_GlobalScope_') AS c, id FROM nodes) GROUP BY c")
 def _(spark, d):
-    rows = _lines(spark, d).where("trim(s) <> ''")
-    return rows.select("doc_id", "line", F.when(F.col("s").startswith("@"), F.regexp_extract("s", "^@([a-z:-]+)", 1)).otherwise("notice").alias("kind"), F.trim("s").alias("comment"))
+    from .diagram import participants
 
-
-@query("dg2_participants", "SELECT regexp_replace(coalesce(n_name, '_GlobalScope_'), '[^A-Za-z0-9]', '_', 'g') AS participant, min(n_nationkey) AS first_node FROM nation GROUP BY 1")
-def _(spark, d):
-    return _t(spark, d, "nation").groupBy(F.regexp_replace(F.coalesce("n_name", F.lit("_GlobalScope_")), "[^A-Za-z0-9]", "_").alias("participant")).agg(F.min("n_nationkey").alias("first_node"))
+    return participants(G.scoped_by_project(nodes_of(spark, d))).select("line", "ord")
 
 
 @query("dg5_last_return", "SELECT l_orderkey AS source_node_id, l_suppkey AS target_node_id, arg_max(l_returnflag, l_linenumber * 16777216 + l_partkey) AS returned_value, max(l_linenumber * 16777216 + l_partkey)::BIGINT AS edge_id FROM lineitem GROUP BY 1, 2")
@@ -348,20 +343,50 @@ def _(spark, d):
     return G.last_return(edges).drop("sequence_number")
 
 
-@query("dg11_line_stats", f"WITH {_LINES} SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (trim(s) = '')::BIGINT AS n_blank, count(*) FILTER (contains(s, '|'))::BIGINT AS n_bar FROM l GROUP BY doc_id")
+def _diagrams(spark, d) -> DataFrame:
+    """A diagram for each nation: a head, then five lines for each order of its customers."""
+    orders = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    body = orders.select(F.col("c_nationkey").alias("diagram"), F.col("o_orderkey").alias("k"), F.posexplode(F.array(F.expr("concat('A->>B: call ', o_orderkey)"), F.expr("if(o_orderkey % 2 = 0, 'alt c', 'opt c')"), F.lit("  Note over A: n"), F.lit("end"), F.expr("if(o_orderkey % 3 = 0, '', if(o_orderkey % 3 = 1, 'deactivate B', 'B-->>A: back'))"))).alias("j", "line"))
+    head = _t(spark, d, "nation").select(F.col("n_nationkey").alias("diagram"), F.lit(-1).cast("bigint").alias("k"), F.posexplode(F.array(F.lit("sequenceDiagram"), F.lit("participant A"), F.lit("actor B"))).alias("j", "line"))
+    place = F.row_number().over(Window.partitionBy("diagram").orderBy("k", "j")).cast("bigint") - 1
+    return head.unionByName(body).select("diagram", place.alias("ord"), "line")
+
+
+_DIAGRAMS = """raw AS (SELECT c_nationkey AS diagram, o_orderkey AS k, unnest([0, 1, 2, 3, 4]) AS j, unnest(['A->>B: call ' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'alt c' ELSE 'opt c' END, '  Note over A: n', 'end', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'deactivate B' ELSE 'B-->>A: back' END]) AS line FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT n_nationkey, -1, unnest([0, 1, 2]), unnest(['sequenceDiagram', 'participant A', 'actor B']) FROM nation),
+ l AS (SELECT diagram, row_number() OVER (PARTITION BY diagram ORDER BY k, j) - 1 AS ord, line, trim(line) AS bare FROM raw),
+ facts AS (SELECT diagram, ord, line, coalesce(sum((bare LIKE 'alt %' OR bare LIKE 'opt %')::INT - (bare = 'end')::INT) OVER (PARTITION BY diagram ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth, lag(bare) OVER (PARTITION BY diagram ORDER BY ord) AS before,
+   contains(bare, '->>') AS interaction, CASE WHEN bare LIKE 'participant %' OR bare LIKE 'actor %' THEN split_part(bare, ' ', 2) END AS participant FROM l),
+ scored AS (SELECT *, CASE WHEN depth > 0 THEN 0 WHEN before = '' THEN 100 WHEN before = 'end' THEN 90 WHEN before LIKE 'deactivate%' THEN 70 WHEN contains(before, '->>') THEN 50 ELSE 10 END AS score FROM facts)"""
+
+
+@query("dg11_line_facts", f"WITH {_DIAGRAMS} SELECT diagram, ord, depth::BIGINT AS depth, before, interaction, participant FROM facts")
 def _(spark, d):
-    return _lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("s") == "").alias("n_blank"), F.count_if(F.contains("s", F.lit("|"))).alias("n_bar"))
+    from .diagram import line_facts
 
+    return line_facts(_diagrams(spark, d), ["diagram"]).select("diagram", "ord", F.col("depth").cast("bigint").alias("depth"), "before", "interaction", "participant")
 
-@query("dg12_block_depth", f"WITH {_LINES} SELECT doc_id, line::INT AS line, sum(CASE WHEN s LIKE '%.' THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS depth FROM l")
+
+@query("dg12_boundary_scores", f"WITH {_DIAGRAMS} SELECT diagram, ord, score::INT AS score FROM scored")
 def _(spark, d):
-    step = F.when(F.col("s").endswith("."), -1).otherwise(1)
-    return _lines(spark, d).select("doc_id", "line", F.sum(step).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    from .diagram import boundary_score, line_facts
+
+    return line_facts(_diagrams(spark, d), ["diagram"]).select("diagram", "ord", boundary_score(F.col("depth"), F.col("before")).cast("int").alias("score"))
 
 
-@query("snk1_dot_nodes", "SELECT n_nationkey AS id, '    n' || n_nationkey || ' [label=\"' || replace(n_name, '\"', '\\\"') || '\"];' AS line FROM nation")
+@query("snk1_dot", f"""{BASE} SELECT 'n' || id AS key, '    n' || id || ' [label="' || contract_name || '.' || replace(name, '"', '\\"') || '\\n(' || lower(node_type) || ')", tooltip="Type: ' || node_type || '\\\\nVisibility: ' || visibility || '\\\\nSpan: (' || id || ', ' || id + 1 || ')", fillcolor="' || CASE node_type WHEN 'Function' THEN 'lightblue' WHEN 'StorageVariable' THEN 'khaki' ELSE 'lightpink' END || '"];' AS line FROM nodes
+ UNION ALL SELECT 'e' || edge_id || source_node_id || target_node_id || edge_type, '    n' || source_node_id || ' -> n' || target_node_id || ' [label="' || CASE edge_type WHEN 'Call' THEN '()\\n' || sequence_number WHEN 'StorageRead' THEN 'read' ELSE 'write' END || '", tooltip="' || CASE edge_type WHEN 'Call' THEN 'Call Site Span: (' || pos || ', ' || pos || ')\\\\nSequence: ' || sequence_number WHEN 'StorageRead' THEN 'Read Span: (' || pos || ', ' || pos || ')' ELSE 'Write Span: (' || pos || ', ' || pos || ')' END || '"' || CASE edge_type WHEN 'Call' THEN '' WHEN 'StorageRead' THEN ', color="darkgreen", fontcolor="darkgreen", style="dotted"' ELSE ', color="darkred", fontcolor="darkred", style="bold"' END || '];' FROM edges""")
 def _(spark, d):
-    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("    n"), F.col("n_nationkey"), F.lit(' [label="'), F.replace("n_name", F.lit('"'), F.lit('\\"')), F.lit('"];')).alias("line"))
+    from ..schema import CodeGraph
+    from .render import to_dot
+
+    nodes = nodes_of(spark, d).withColumn("span", F.struct(F.col("id").alias("start"), (F.col("id") + 1).alias("end")))
+    edges = edges_of(spark, d)
+    lines = to_dot(CodeGraph(nodes, edges), "G").where("section in (1, 3)")
+    ends = F.concat(F.regexp_extract("line", r"n(-?\d+) -> n(-?\d+)", 1), F.regexp_extract("line", r"n(-?\d+) -> n(-?\d+)", 2))
+    kind = F.when(F.contains("line", F.lit('label="read"')), "StorageRead").when(F.contains("line", F.lit('label="write"')), "StorageWrite").otherwise("Call")
+    key = F.when(F.col("section") == 1, F.concat(F.lit("n"), "ord")).otherwise(F.concat(F.lit("e"), "ord", ends, kind))
+    return lines.select(key.alias("key"), "line")
 
 
 @query("snk4_escape_dot", "SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), ''), chr(9), '\\t'), '{', '\\{'), '}', '\\}'), '<', '\\<'), '>', '\\>')) AS escaped_md5 FROM documents")
@@ -369,10 +394,13 @@ def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(F.encode(X.escape_dot(F.col("text")), "utf-8")).alias("escaped_md5"))
 
 
-@query("snk5_json", "SELECT n_nationkey AS id, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"scope\":' || CASE WHEN n_regionkey = 0 THEN 'null' ELSE '\"' || n_regionkey || '\"' END || '}' AS json FROM nation")
+@query("snk5_json", f"""{BASE} SELECT id AS ord, '{{"id":' || id || ',"name":"' || replace(name, '"', '\\"') || '","node_type":"' || node_type || '","contract_name":"' || contract_name || '","visibility":"' || visibility || '","span":{{"start":' || id || ',"end":' || id + 1 || '}},"has_explicit_return":null,"declared_return_type":null,"parameters":null,"revert_message":null,"condition_expression":null}}' AS json FROM nodes""")
 def _(spark, d):
-    row = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 0, F.col("n_regionkey").cast("string")).alias("scope"))
-    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+    from ..schema import CodeGraph
+    from .render import to_json_rows
+
+    nodes = nodes_of(spark, d).withColumn("span", F.struct(F.col("id").alias("start"), (F.col("id") + 1).alias("end")))
+    return to_json_rows(CodeGraph(nodes, edges_of(spark, d)))[0]
 
 
 @query("src3_offsets", "SELECT doc_id, coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents")
@@ -433,50 +461,116 @@ def _(spark, d):
 
 
 def _sources(spark, d) -> DataFrame:
-    """A project for each nation, a contract for each customer, a writing function for each order."""
-    functions = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit(" function o"), k, F.lit("() public { total = "), k, F.lit("; }"))), "").alias("body"))
-    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey").join(functions, "c_custkey", "left")
-    text = F.concat(F.lit("contract C"), "c_custkey", F.lit(" { uint256 total;"), F.coalesce("body", F.lit("")), F.lit(" }"))
-    return c.select(F.col("c_nationkey").cast("string").alias("project"), F.concat("c_custkey", F.lit(".sol")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    """A project for each nation, a contract for each customer, and a function for each order, whose statements hang on its number.
 
+    Every project has an interface and a library of the same names as all others of its region.
+    """
+    k = lambda n, text: F.expr(f"if(o_orderkey % {n} = 0, '{text}', '')")
+    body = F.concat(F.expr("concat(' function o', o_orderkey, '(uint256 n) public returns (uint256) { require(n > ', o_orderkey, ', \"small\");')"), k(2, " if (n > total) { limit = n; }"), k(3, " emit Done(n);"), k(5, " help();"), F.lit(" total = n;"), k(7, " total.twice();"), F.lit(" return total; }"))
+    functions = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.struct("o_orderkey", body.alias("text")).alias("f")).groupBy("c_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["text"]), "").alias("body"))
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey").join(functions, "c_custkey", "left").join(F.broadcast(nation), "c_nationkey")  # 25 rows
+    ctor = F.expr("if(c_custkey % 4 = 0, ' constructor() { limit = 1; }', '')")
+    text = F.concat(F.lit("contract C"), "c_custkey", F.lit(" is I"), "n_regionkey", F.lit(" { using L for uint256; uint256 total; uint256 limit; event Done(uint256 n);"), ctor, F.lit(" function ping() external override { total = 1; } function help() internal { total = 0; }"), F.coalesce("body", F.lit("")), F.lit(" }"))
+    own = c.select(F.col("c_nationkey").cast("string").alias("project"), F.concat("c_custkey", F.lit(".sol")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    base = F.concat(F.lit("interface I"), "n_regionkey", F.lit(" { function ping() external; } library L { function twice(uint256 a) internal pure returns (uint256) { return a * 2; } }"))
+    shared = c.select("c_nationkey", "n_regionkey").distinct().select(F.col("c_nationkey").cast("string").alias("project"), F.lit("0.sol").alias("path"), F.encode(base, "utf-8").alias("content"))
+    return own.unionByName(shared)
 
-@query("ext_extraction", """WITH c AS (SELECT c_nationkey::VARCHAR AS project, count(*) AS n FROM customer GROUP BY 1), o AS (SELECT c_nationkey::VARCHAR AS project, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
- SELECT 'node' AS what, k AS kind, sum(m)::BIGINT AS n FROM (SELECT 'StorageVariable' AS k, n AS m FROM c UNION ALL SELECT 'Constructor', n FROM c UNION ALL SELECT 'Function', n FROM o) GROUP BY 2 UNION ALL SELECT 'edge', 'StorageWrite', sum(n)::BIGINT FROM o""")
-def _(spark, d):
+
+_EXTRACTED = """c AS (SELECT c_nationkey::VARCHAR AS project, c_custkey, 'C' || c_custkey AS contract, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey), p AS (SELECT DISTINCT project, r FROM c),
+ o AS (SELECT project, contract, 'o' || o_orderkey AS f, o_orderkey AS k, 1 + 4 * (o_orderkey % 2 = 0)::INT AS b1, 1 + 4 * (o_orderkey % 2 = 0)::INT + 2 * (o_orderkey % 3 = 0)::INT AS b2, 1 + 4 * (o_orderkey % 2 = 0)::INT + 2 * (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT AS b3, (o_orderkey % 7 = 0)::INT AS q7 FROM orders JOIN c ON o_custkey = c_custkey)"""
+
+
+def _extracted(spark, d):
     from .extract import extract
 
-    g = extract(_sources(spark, d))
-    n = g.nodes.groupBy(F.lit("node").alias("what"), F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
-    return n.unionByName(g.edges.groupBy(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
+    return extract(_sources(spark, d))
 
 
-@query("gq9_extracted_report", "SELECT 'C' || c_custkey || '.o' || o_orderkey AS endpoint, '' AS reads, 'C' || c_custkey || '.total' AS writes FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("ext_nodes", f"""WITH {_EXTRACTED} SELECT project, contract_name, name, node_type, visibility, has_explicit_return, declared_return_type, count(*) AS n FROM (
+ SELECT project, 'I' || r AS contract_name, 'I' || r AS name, 'Interface' AS node_type, 'Default' AS visibility, false AS has_explicit_return, NULL AS declared_return_type FROM p UNION ALL SELECT project, 'I' || r, 'ping', 'Function', 'External', false, NULL FROM p
+ UNION ALL SELECT project, 'L', 'L', 'Library', 'Default', false, NULL FROM p UNION ALL SELECT project, 'L', 'twice', 'Function', 'Internal', true, 'uint256' FROM p
+ UNION ALL SELECT project, contract, unnest(['total', 'limit']), 'StorageVariable', 'Internal', false, NULL FROM c UNION ALL SELECT project, contract, contract, 'Constructor', 'Public', false, NULL FROM c
+ UNION ALL SELECT project, contract, 'ping', 'Function', 'External', false, NULL FROM c UNION ALL SELECT project, contract, 'help', 'Function', 'Internal', false, NULL FROM c
+ UNION ALL SELECT project, contract, f, 'Function', 'Public', true, 'uint256' FROM o UNION ALL SELECT project, contract, 'small', 'RequireCondition', 'Default', false, NULL FROM o
+ UNION ALL SELECT project, contract, '', unnest(['IfStatement', 'ThenBlock']), 'Default', false, NULL FROM o WHERE k % 2 = 0
+ UNION ALL SELECT DISTINCT project, NULL, unnest(['EVM', 'EventListener']), unnest(['Evm', 'EventListener']), 'Default', false, NULL FROM o WHERE k % 3 = 0) GROUP BY ALL""")
 def _(spark, d):
-    from .extract import extract
+    name = F.when(F.col("node_type").isin("IfStatement", "ThenBlock"), "").otherwise(F.col("name"))
+    return _extracted(spark, d).nodes.groupBy("project", "contract_name", name.alias("name"), "node_type", "visibility", "has_explicit_return", "declared_return_type").agg(F.count("*").alias("n"))
+
+
+@query("ext_edges", f"""WITH {_EXTRACTED}, e AS (
+ SELECT project, contract || '.' || f AS a, contract || '.small' AS b, 'Require' AS edge_type, 1 AS seq, 'n > ' || k || ', "small"' AS args, NULL AS event, NULL AS value FROM o
+ UNION ALL SELECT project, contract || '.' || f, contract || '.IfStatement', 'IfConditionBranch', 2, 'n > total', NULL, NULL FROM o WHERE k % 2 = 0 UNION ALL SELECT project, contract || '.IfStatement', contract || '.ThenBlock', 'ThenBranch', 3, NULL, NULL, NULL FROM o WHERE k % 2 = 0
+ UNION ALL SELECT project, contract || '.' || f, contract || '.total', 'StorageRead', 4, NULL, NULL, NULL FROM o WHERE k % 2 = 0 UNION ALL SELECT project, contract || '.ThenBlock', contract || '.limit', 'StorageWrite', 5, NULL, NULL, NULL FROM o WHERE k % 2 = 0
+ UNION ALL SELECT project, contract || '.' || f, 'EVM', 'Call', b1 + 1, 'n', 'Done', NULL FROM o WHERE k % 3 = 0 UNION ALL SELECT project, 'EVM', 'EventListener', 'Call', b1 + 2, 'n', 'Done', NULL FROM o WHERE k % 3 = 0
+ UNION ALL SELECT project, contract || '.' || f, contract || '.help', 'Call', b2 + 1, '', NULL, NULL FROM o WHERE k % 5 = 0
+ UNION ALL SELECT project, contract || '.' || f, contract || '.total', 'StorageWrite', b3 + 1, NULL, NULL, NULL FROM o
+ UNION ALL SELECT project, contract || '.' || f, contract || '.total', 'StorageRead', b3 + 2, NULL, NULL, NULL FROM o WHERE q7 = 1 UNION ALL SELECT project, contract || '.' || f, 'L.twice', 'Call', b3 + 3, '', NULL, NULL FROM o WHERE q7 = 1
+ UNION ALL SELECT project, 'L.twice', contract || '.' || f, 'Return', b3 + 3, NULL, NULL, 'a * 2' FROM o WHERE q7 = 1
+ UNION ALL SELECT project, contract || '.' || f, contract || '.total', 'StorageRead', b3 + 2 + 2 * q7, NULL, NULL, NULL FROM o
+ UNION ALL SELECT project, contract || '.' || unnest(['ping', 'help']), contract || '.total', 'StorageWrite', 1, NULL, NULL, NULL FROM c
+ UNION ALL SELECT project, contract || '.' || contract, contract || '.limit', 'StorageWrite', 1, NULL, NULL, NULL FROM c WHERE c_custkey % 4 = 0)
+ SELECT project, a, b, edge_type, seq::BIGINT AS seq, args, event, value, count(*) AS n FROM e GROUP BY ALL""")
+def _(spark, d):
+    g = _extracted(spark, d)
+    label = G.qualified(F.col("contract_name"), F.when(F.col("node_type").isin("IfStatement", "ThenBlock"), F.col("node_type")).otherwise(F.col("name")))
+    names = g.nodes.select("id", label.alias("label"))
+    e = g.edges.join(names.select(F.col("id").alias("source_node_id"), F.col("label").alias("a")), "source_node_id").join(names.select(F.col("id").alias("target_node_id"), F.col("label").alias("b")), "target_node_id")
+    return e.groupBy("project", "a", "b", "edge_type", F.col("sequence_number").alias("seq"), F.array_join("argument_names", ", ").alias("args"), F.col("event_name").alias("event"), F.col("returned_value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("ext4_implements", f"WITH {_EXTRACTED} SELECT project, contract, 'I' || r AS iface, 0 AS ord FROM c")
+def _(spark, d):
+    return _extracted(spark, d).side["implements"].select("project", "contract", "iface", "ord")
+
+
+@query("ext9_default_constructors", f"WITH {_EXTRACTED} SELECT project, contract, (c_custkey % 4 = 0)::INT::BIGINT AS writes FROM c")
+def _(spark, d):
+    g = _extracted(spark, d)
+    ctors = g.nodes.where("node_type = 'Constructor'").select("project", F.col("contract_name").alias("contract"), F.col("id").alias("source_node_id"))
+    return ctors.join(g.edges.select("source_node_id", "edge_id"), "source_node_id", "left").groupBy("project", "contract").agg(F.count("edge_id").alias("writes"))
 
-    g = extract(_sources(spark, d))
+
+@query("gq9_extracted_report", f"WITH {_EXTRACTED} SELECT contract || '.' || f AS endpoint, contract || '.total' AS reads, contract || '.total' AS writes FROM o UNION ALL SELECT contract || '.ping', '', contract || '.total' FROM c")
+def _(spark, d):
+    g = _extracted(spark, d)
     return G.storage_report(g.nodes, g.edges).select("endpoint", "reads", "writes")
 
 
-@query("dg1_sequence_lines", "SELECT line, count(*) AS n FROM (SELECT 'User->>C' || c_custkey || ': call o' || o_orderkey || '()' AS line FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'Note over C' || c_custkey || ': Write C' || c_custkey || '.total' FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'C' || c_custkey || '-->>User: ret from o' || o_orderkey || '()' FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY line")
+@query("dg1_sequence_diagram", f"""WITH {_EXTRACTED}, f AS (SELECT project, contract, f AS entry_name, list_concat(['User->>' || contract || ': call ' || f || '()', 'alt n > ' || k, '  Note over ' || contract || ': Condition holds', 'else else', '  Note over ' || contract || ': Reverts: small', 'end'],
+   CASE WHEN k % 2 = 0 THEN ['alt n > total', '  Note over ' || contract || ': Write ' || contract || '.limit', 'end', 'Note over ' || contract || ': Read ' || contract || '.total'] ELSE [] END,
+   CASE WHEN k % 3 = 0 THEN [contract || '->>' || contract || ': emit Done(n)'] ELSE [] END,
+   CASE WHEN k % 5 = 0 THEN ['opt Internal: ' || contract || '.help', '  activate ' || contract, '  ' || contract || '->>' || contract || ': ' || contract || '.help()', '  Note over ' || contract || ': Write ' || contract || '.total', '  deactivate ' || contract, 'end'] ELSE [] END,
+   ['Note over ' || contract || ': Write ' || contract || '.total'],
+   CASE WHEN k % 7 = 0 THEN ['Note over ' || contract || ': Read ' || contract || '.total', 'activate L', contract || '->>L: L.twice()', 'L-->>' || contract || ': ret a * 2: uint256 from twice', 'deactivate L'] ELSE [] END,
+   ['Note over ' || contract || ': Read ' || contract || '.total', contract || '-->>User: ret: uint256 from ' || f || '()']) AS lines FROM o
+  UNION ALL SELECT project, contract, 'ping', ['User->>' || contract || ': call ping()', 'Note over ' || contract || ': Write ' || contract || '.total', contract || '-->>User: ret from ping()'] FROM c)
+ SELECT project, entry_name, md5(array_to_string(lines, chr(10))) AS text_md5, count(*) AS n FROM f GROUP BY ALL""")
 def _(spark, d):
     from .diagram import sequence_diagram
-    from .extract import extract
 
-    return sequence_diagram(extract(_sources(spark, d))).where("section = 2").groupBy("line").agg(F.count("*").alias("n"))
+    flows = sequence_diagram(_extracted(spark, d)).where("section = 2")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return flows.groupBy("project", "entry", "entry_name").agg(F.md5(F.encode(text, "utf-8")).alias("text_md5")).groupBy("project", "entry_name", "text_md5").agg(F.count("*").alias("n"))
 
 
-@query("dg13_chunks", None)
+@query("dg13_chunks", f"""WITH RECURSIVE {_DIAGRAMS}, far AS (SELECT diagram, ord, count(*) OVER (PARTITION BY diagram) AS n, max(score * 10000000 - ord) OVER (PARTITION BY diagram ORDER BY ord ROWS BETWEEN 200 FOLLOWING AND 600 FOLLOWING) AS code FROM scored),
+ nxt AS (SELECT diagram, ord, n, CASE WHEN n - ord <= 600 THEN n WHEN ceil(code / 10000000.0) > 0 THEN ceil(code / 10000000.0)::BIGINT * 10000000 - code ELSE ord + 400 END AS until FROM far),
+ cuts(diagram, chunk, since, until) AS (SELECT diagram, 1, ord, until FROM nxt WHERE ord = 0 UNION ALL SELECT c.diagram, chunk + 1, x.ord, x.until FROM cuts c JOIN nxt x ON x.diagram = c.diagram AND x.ord = c.until)
+ SELECT diagram, chunk::BIGINT AS chunk, (until - since)::BIGINT AS n, since::BIGINT AS first_ord FROM cuts""")
 def _(spark, d):
     from .diagram import chunk_lines
 
-    lines = _lines(spark, d).select("doc_id", F.col("line").alias("ord"), F.col("s").alias("line"))
-    return chunk_lines(lines, ["doc_id"]).groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+    return chunk_lines(_diagrams(spark, d), ["diagram"]).groupBy("diagram", "chunk").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
-@query("ts_generated_tests", "SELECT 'C' || c_custkey || 'DeployerTest.t.sol' AS path FROM customer UNION ALL SELECT 'C' || c_custkey || 'O' || o_orderkey || 'StateTest0.t.sol' FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("ts_generated_tests", f"""WITH {_EXTRACTED} SELECT project, contract || 'DeployerTest.t.sol' AS path, md5('pragma solidity ^0.8.0;' || chr(10) || chr(10) || 'import "forge-std/Test.sol";' || chr(10) || 'import "../src/' || contract || '.sol";' || chr(10) || chr(10) || 'contract ' || contract || 'DeployerTest is Test {{' || chr(10) || '    ' || contract || ' private contractInstance;' || chr(10) || chr(10) || '    function setUp() public {{' || chr(10) || '        contractInstance = new ' || contract || '();' || chr(10) || '    }}' || chr(10) || chr(10) || '    function test_' || contract || '_deploys() public {{' || chr(10) || '        assertTrue(address(contractInstance) != address(0));' || chr(10) || '    }}' || chr(10) || '}}' || chr(10)) AS deployer_md5 FROM c
+ UNION ALL SELECT project, contract || 'O' || k || 'RevertTest0.t.sol', NULL FROM o UNION ALL SELECT project, contract || 'O' || k || 'StateTest0.t.sol', NULL FROM o UNION ALL SELECT project, contract || 'PingStateTest0.t.sol', NULL FROM c""")
 def _(spark, d):
-    from .extract import extract
     from .testgen import all_tests
 
-    return all_tests(extract(_sources(spark, d))).select("path")
+    digest = F.when(F.col("path").endswith("DeployerTest.t.sol"), F.md5(F.encode("text", "utf-8")))
+    return all_tests(_extracted(spark, d)).select("project", "path", digest.alias("deployer_md5"))
