@@ -66,6 +66,28 @@ def count_unnamed_returns(items):
     return F.size(F.filter(items, lambda i: (i["kind"] == "Return") & i["name"].isNull()))
 
 
+def count_returns(items):
+    return count(items, "Return")
+
+
+def is_empty(items):
+    """Whether a documentation has no item; null has none."""
+    return F.coalesce(F.size(items), F.lit(0)) <= 0
+
+
+def append(items, more):
+    """The items of one documentation after those of another."""
+    none = F.array().cast(ITEMS)
+    return F.concat(F.coalesce(items, none), F.coalesce(more, none))
+
+
+def extend_manifest(entries: DataFrame, more: DataFrame) -> DataFrame:
+    """A manifest with further entries, which come after the others of their file."""
+    last = entries.groupBy("file_path").agg(F.max("ord").alias("__last"))
+    later = more.join(last, "file_path", "left").withColumn("ord", F.col("ord") + F.coalesce(F.col("__last") + 1, F.lit(0))).drop("__last")
+    return entries.unionByName(later.select(*entries.columns))
+
+
 def has(items, kind: str, name: str | None = None):
     return count(items, kind, name) > 0
 

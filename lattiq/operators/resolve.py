@@ -168,11 +168,20 @@ def mapping_value_type(text: Column) -> Column:
 def bindings_from_docs(bindings: DataFrame, entries: DataFrame) -> DataFrame:
     """key, contract_name, address, chain_id, notes: the registry after the documents' binds-to tags.
 
-    entries(ord, item_kind, item_name, key, notes).  Only contracts bind; a key that isn't there is added; the last contract of a key
-    wins over what was there; other fields stay.
+    entries(ord, item_kind, item_name, key, file_path).  Only contracts bind; a key that isn't there is added; the last contract of a
+    key (by file, then place) wins over what was there.  notes gathers what was found, the last first, before what was there; other fields stay.
     """
-    bound = entries.where("item_kind = 'Contract' and key is not null and item_name is not null").groupBy("key").agg(F.max_by("item_name", "ord").alias("__contract"))
-    return bindings.join(bound, "key", "full_outer").select("key", F.coalesce("__contract", "contract_name").alias("contract_name"), *[c for c in bindings.columns if c not in ("key", "contract_name")])
+    of = F.col("file_path") if "file_path" in entries.columns else F.lit("")
+    found = entries.where("item_kind = 'Contract' and key is not null and key <> '' and item_name is not null").select("key", F.struct(of.alias("file"), "ord", F.col("item_name").alias("name")).alias("e"))
+    bound = found.groupBy("key").agg(F.reverse(F.array_sort(F.collect_list("e"))).alias("__found"), F.lit(True).alias("__bound"))  # contracts that claim one key
+    old = bindings.withColumn("__known", F.lit(True))
+    merged = old.join(bound, "key", "full_outer")
+    said = F.transform("__found", lambda e: F.concat(F.lit("bound by "), e["name"], F.when(e["file"] != "", F.concat(F.lit(" in "), e["file"])).otherwise("")))
+    new = F.when(F.col("__known").isNull(), F.concat(F.lit("first found on "), F.element_at("__found", -1)["name"]))
+    kept = F.col("notes").cast("string") if "notes" in bindings.columns else F.lit(None).cast("string")
+    notes = F.when(F.col("__bound").isNull(), kept).otherwise(F.concat_ws("; before: ", said, F.coalesce(kept, new)))
+    rest = [c for c in bindings.columns if c not in ("key", "contract_name", "notes")]
+    return merged.select("key", F.coalesce(F.get("__found", F.lit(0))["name"], F.col("contract_name")).alias("contract_name"), *rest, notes.alias("notes"))
 
 
 def first_entry(wanted: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

@@ -276,10 +276,10 @@ def _(spark, d):
     return R.match_builtins(calls)
 
 
-@query("res13_upsert", "WITH b AS (SELECT n_nationkey AS key, n_name AS contract_name, n_regionkey AS notes FROM nation WHERE n_nationkey < 20), e AS (SELECT s_nationkey AS key, arg_max(s_name, s_suppkey) AS c FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) SELECT coalesce(b.key, e.key) AS key, coalesce(c, contract_name) AS contract_name, notes FROM b FULL JOIN e ON b.key = e.key")
+@query("res13_upsert", "WITH b AS (SELECT n_nationkey AS key, n_name AS contract_name, CASE WHEN n_regionkey > 0 THEN 'region ' || n_regionkey END AS notes FROM nation WHERE n_nationkey < 20), e AS (SELECT s_nationkey::VARCHAR AS key, arg_max(s_name, s_suppkey) AS c, string_agg('bound by ' || s_name || ' in f' || s_nationkey, '; before: ' ORDER BY s_suppkey DESC) AS said, arg_min(s_name, s_suppkey) AS one FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) SELECT coalesce(b.key::VARCHAR, e.key) AS key, coalesce(c, contract_name) AS contract_name, CASE WHEN said IS NULL THEN notes ELSE concat_ws('; before: ', said, coalesce(notes, CASE WHEN b.key IS NULL THEN 'first found on ' || one END)) END AS notes FROM b FULL JOIN e ON b.key::VARCHAR = e.key")
 def _(spark, d):
-    bindings = _t(spark, d, "nation").where("n_nationkey < 20").selectExpr("n_nationkey as key", "n_name as contract_name", "n_regionkey as notes")
-    entries = _t(spark, d, "supplier").selectExpr("s_suppkey as ord", "if(s_suppkey % 2 = 0, 'Contract', 'Interface') as item_kind", "s_name as item_name", "s_nationkey as key")
+    bindings = _t(spark, d, "nation").where("n_nationkey < 20").selectExpr("cast(n_nationkey as string) as key", "n_name as contract_name", "if(n_regionkey > 0, concat('region ', n_regionkey), null) as notes")
+    entries = _t(spark, d, "supplier").selectExpr("s_suppkey as ord", "if(s_suppkey % 2 = 0, 'Contract', 'Interface') as item_kind", "s_name as item_name", "cast(s_nationkey as string) as key", "concat('f', s_nationkey) as file_path")
     return R.bindings_from_docs(bindings, entries)
 
 

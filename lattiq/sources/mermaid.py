@@ -161,6 +161,38 @@ class Builder:
     def title(self, text):
         return self._add("title", text=text)
 
+    def acc_title(self, text):
+        return self._add("accTitle", text=text)
+
+    def acc_descr(self, text):
+        """A description of one line or of several."""
+        return self._add("accDescr", text=text)
+
+    def statement_count(self) -> int:
+        return len(self.rows)
+
+    def process(self, text):
+        """Adds the statements of a diagram's text, or of a single one."""
+        rows = parse(text if text.lstrip().startswith("sequenceDiagram") else f"sequenceDiagram\n{text}")
+        for _, depth, *rest in rows:
+            self._add(*rest, depth=len(self.open) + depth)
+        return self
+
+    def actor(self, name, alias=None):
+        return self.participant(name, alias, "actor")
+
+    def create_actor(self, name, alias=None):
+        return self.create(name, alias, "actor")
+
+    def autonumber_off(self):
+        return self._add("autonumber", text="off")
+
+    def block(self, kind, text, inner):
+        """A loop, opt or rect block whose statements inner(builder) adds."""
+        self.begin(kind, text)
+        inner(self)
+        return self.end()
+
     def participant(self, name, alias=None, kind="participant"):
         return self._add(kind, name, text=alias)
 

@@ -149,3 +149,70 @@ class Contract:
         top += [f'import "{i}";' for i in imports] + [""] * bool(imports)
         body = [INDENT + x for p in self.parts for x in p]
         return "\n".join([*top, self.head + " {", *body, "}"]) + "\n"
+
+
+# types and expressions as text
+
+
+def uint(bits: int = 256) -> str:
+    return f"uint{bits}"
+
+
+def integer(bits: int = 256) -> str:
+    return f"int{bits}"
+
+
+def fixed_bytes(size: int) -> str:
+    return f"bytes{size}"
+
+
+def array(element: str, size: str | int | None = None) -> str:
+    return f"{element}[{'' if size is None else size}]"
+
+
+def mapping(key: str, value: str) -> str:
+    return f"mapping({key} => {value})"
+
+
+def needs_location(kind: str) -> bool:
+    """Whether a variable of a type must say where its data lie."""
+    return kind in ("string", "bytes") or kind.endswith("]") or kind.startswith("mapping(")
+
+
+def default_location(kind: str) -> str | None:
+    return ("storage" if kind.startswith("mapping(") else "memory") if needs_location(kind) else None
+
+
+def declared(kind: str, name: str) -> str:
+    """A parameter or local variable of a type, with its location where one is needed."""
+    return " ".join(x for x in (kind, default_location(kind), name) if x)
+
+
+def string_literal(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+
+
+def boolean(value: bool) -> str:
+    return "true" if value else "false"
+
+
+#: How tightly operators bind; higher is tighter.
+_BINDS = {op: k for k, ops in enumerate((["||"], ["&&"], ["==", "!="], ["<", ">", "<=", ">="], ["|"], ["^"], ["&"], ["<<", ">>"], ["+", "-"], ["*", "/", "%"], ["**"])) for op in ops}
+
+
+def binary(left: str, operator: str, right: str) -> str:
+    """left operator right; operands that bind less tightly get parentheses."""
+
+    def operand(text: str, tight: bool) -> str:
+        e = parse(f"contract C {{ uint x = {text}; }}").root
+        top = next((n["operator"] for n in e.walk() if n.kind == "binary_expression"), None)
+        whole = top is None or text.startswith("(") or _BINDS[top] > _BINDS[operator] or (_BINDS[top] == _BINDS[operator] and not tight)
+        return text if whole else f"({text})"
+
+    return f"{operand(left, False)} {operator} {operand(right, True)}"
+
+
+def if_else(condition: str, then: tuple[str, ...], otherwise: tuple[str, ...] = ()) -> list[str]:
+    """The lines of an if statement, with an else branch if there is one."""
+    out = [f"if ({condition}) {{", *(INDENT + x for x in then), "}"]
+    return [*out[:-1], "} else {", *(INDENT + x for x in otherwise), "}"] if otherwise else out
