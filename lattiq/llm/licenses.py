@@ -5,9 +5,8 @@ Spark, to the template positions that have it; a match votes for its diagonal (d
 template position).  Votes are aggregated by document, template and diagonal, neighbouring diagonals (words
 left out or put in) are merged, and a merged span is kept if the matched k-grams cover enough of the template.
 
-k-grams are numbered exactly, not hashed: a word's number is its place in the templates' vocabulary, and a
-k-gram with any other word can't match, so it never leaves the Python worker.  A match is therefore an equal
-run of words, and verification counts words that are covered.
+A k-gram's hash is a polynomial, modulo 2**64, in the 64-bit hashes of its words, rolled over all words of the text.
+Verification counts the template's words that matched k-grams cover, so a chance equality of one hash makes no match.
 
 Base phrases (``PHRASES``) are found in the same pass at their own places.
 """
@@ -18,11 +17,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, text_bytes, with_row_key, words_of
+from .common import by_bytes, list_array, text_bytes, with_row_key, words_of
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = {
@@ -120,17 +120,17 @@ COVER = 0.6
 NEAR = 3
 
 
-def _grams(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, numbers) of the k-grams all of whose words are known (id > 0)."""
-    if len(ids) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero(ids[: len(ids) - GRAM + 1])
-    for j in range(1, GRAM):
-        at = at[ids[at + j] > 0]
-    code = np.zeros(len(at), np.int64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(words: list[bytes]) -> np.ndarray:
+    """The hashes of all k-grams of words, by place."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(0, len(h) - GRAM + 1)
+    code = np.zeros(n, np.uint64)
     for j in range(GRAM):
-        code = code * base + ids[at + j]
-    return at, code
+        code = code * _BASE + h[j : j + n]
+    return code.view(np.int64)
 
 
 class Templates:
@@ -139,51 +139,39 @@ class Templates:
         short = [k for k, w in words.items() if len(w) < GRAM]
         if short:
             raise ValueError(f"templates need {GRAM} words: {short}")
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in words.values() for w in x}))}
-        self.base = len(self.vocabulary) + 1
-        self.rows = [
-            (int(code), k, k.split("-")[0], int(at), len(w))
-            for k, w in words.items()
-            for at, code in zip(*_grams(np.array([self.vocabulary[x] for x in w], np.int64), self.base))
-        ]
-
-
-def _scan(known: Templates, phrases: dict[str, str]):
-    vocabulary, base = dict(known.vocabulary), known.base
-    targets = [(p.encode().split(b" "), label) for p, label in phrases.items()]
-    for p, _ in targets:  # words of phrases get numbers beyond the templates'
-        for w in p:
-            vocabulary.setdefault(w, len(vocabulary) + 1)
-    coded = [([vocabulary[w] for w in p], label) for p, label in targets]
+        self.rows = [(int(code), k, k.split("-")[0], at, len(w)) for k, w in words.items() for at, code in enumerate(grams(w))]
+
+
+def _scan(phrases: dict[str, str]):
+    targets = [([w.encode() for w in p.split(" ")], label) for p, label in phrases.items()]
+    number = {w: k + 1 for k, w in enumerate(sorted({w for p, _ in targets for w in p}))}
+    coded = [([number[w] for w in p], label) for p, label in targets]
 
     def run(batches):
-        get = vocabulary.get
+        get = number.get
         for b in batches:
-            rows, places, codes, counts = [], [], [], []
-            for t in text_bytes(b.column("text")):
-                words = words_of(t or b"")
-                ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                found, labels = [], set()
-                for p, label in coded:
-                    at = np.flatnonzero(ids[: max(0, len(ids) - len(p) + 1)] == p[0])
-                    for j, w in enumerate(p[1:], 1):
-                        at = at[ids[at + j] == w]
-                    if len(at):
-                        found.append(at)
-                        labels.add(label)
-                all_ = np.concatenate(found) if found else None
-                rows.append((len(words), 0 if all_ is None else len(all_), None if all_ is None else int(all_.min()), None if all_ is None else int(all_.max()), sorted(labels)))
-                at, code = _grams(np.where(ids < base, ids, 0), base)
-                places.append(at)
-                codes.append(code)
-                counts.append(len(at))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("__rid"), b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)], list_array(cat(places), np.array(counts, np.int64), pa.int64()), list_array(cat(codes), np.array(counts, np.int64), pa.int64())],
-                ["__rid", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "places", "codes"],
-            )
+            every = text_bytes(b.column("text"))
+            for s, e in by_bytes([t or b"" for t in every]):
+                rows, codes = [], []
+                for t in every[s:e]:
+                    words = words_of(t or b"")
+                    ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+                    found, labels = [], set()
+                    for p, label in coded:
+                        at = np.flatnonzero(ids[: max(0, len(ids) - len(p) + 1)] == p[0])
+                        for j, w in enumerate(p[1:], 1):
+                            at = at[ids[at + j] == w]
+                        if len(at):
+                            found.append(at)
+                            labels.add(label)
+                    all_ = np.concatenate(found) if found else None
+                    rows.append((len(words), 0 if all_ is None else len(all_), None if all_ is None else int(all_.min()), None if all_ is None else int(all_.max()), sorted(labels)))
+                    codes.append(grams(words))
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("__rid").slice(s, e - s), b.column("doc_id").slice(s, e - s), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list_array(np.concatenate(codes), np.array([len(c) for c in codes]), pa.int64())],
+                    ["__rid", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "codes"],
+                )
 
     return run
 
@@ -195,22 +183,21 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: d
     at least 0.5 where a base phrase stands.  Nulls and empty texts have no words and no labels (score 0);
     of equal covers all are reported; repeated rows are scanned each; other columns are ignored; no rows give
     no rows.  Templates are constants of the library or the caller's few texts, so their table is broadcast
-    (at most 2^20 words, checked).
+    (at most 2^20 k-grams, checked).
     """
     spark = documents.sparkSession
     known = Templates(templates)
-    if known.base >= 1 << 20:
+    if len(known.rows) >= 1 << 20:
         raise ValueError("templates hold too many words to be sent to every executor")
-    grams = spark.createDataFrame(known.rows, "code long, template string, label string, at long, length long")
+    table = spark.createDataFrame(known.rows, "code long, template string, label string, at long, length long")
     docs = with_row_key(documents.select("doc_id", "text"))
-    schema = T.StructType([T.StructField("__rid", T.LongType()), documents.schema["doc_id"], *T._parse_datatype_string("n_words long, n_base long, first_word long, last_word long, base array<string>, places array<long>, codes array<long>").fields])
+    schema = T.StructType([T.StructField("__rid", T.LongType()), documents.schema["doc_id"], *T._parse_datatype_string("n_words long, n_base long, first_word long, last_word long, base array<string>, codes array<long>").fields])
     own = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     # one pass: every row of a document carries its counts, its first row stays even without a match
-    rolled = docs.mapInArrow(_scan(known, phrases), schema).select("__rid", *own, F.posexplode_outer(F.arrays_zip("places", "codes")).alias("n", "g"))
+    rolled = docs.mapInArrow(_scan(phrases), schema).select("__rid", *own, F.posexplode_outer("codes").alias("place", "code"))
     votes = (
-        rolled.select("__rid", *own, "n", F.col("g.places").alias("place"), F.col("g.codes").alias("code"))
-        .join(F.broadcast(grams), "code", "left")
-        .where("template is not null or n = 0 or n is null")
+        rolled.join(F.broadcast(table), "code", "left")
+        .where("template is not null or place = 0 or place is null")
         .withColumn("diagonal", F.col("place") - F.col("at"))
     )
     by = ["__rid", "template"]
