@@ -6,19 +6,36 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoints df into spark.checkpoint.dir; only a local session without that setting gets a folder of its own."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see; only a local session without that setting gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="lattiq-")
         context.setCheckpointDir(folder)
+    return folder or context.getCheckpointDir()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared root, in the application's own folder."""
+    return f"{shared_root(spark).rstrip('/')}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application has stored on the way; call it when no result is to be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/lattiq/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoints df into the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
