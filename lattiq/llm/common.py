@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,35 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or (single machine, unset) one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if root:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(root)
-        return root
-    if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattiq-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+from ..runtime import durable, shared_dir
 
+__all__ = ["durable", "shared_dir"]  # handed on to the operators
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared root, as a URI or path."""
-    return f"{shared_root(spark).rstrip('/')}/lattiq/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder; survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
+CHUNK_BYTES = 4 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
