@@ -39,7 +39,10 @@ SPACE = "▁"
 PENALTY = 10.0
 #: Ranks are shifted by so many in the law of their frequencies.
 SHIFT = 100
-CACHE_UNITS = 600_000
+#: Units that a task keeps; they are given up at its end, as a Python worker outlives it.
+CACHE_UNITS = 200_000
+#: Units searched in one step.
+STEP_UNITS = 20_000
 #: Bytes of text whose units are searched together.
 BATCH_BYTES = 1 << 20
 #: Characters of a unit that is searched together with others; longer ones are searched alone.
@@ -294,8 +297,8 @@ class Pieces:
 
     def _learn(self, new: set[str]) -> None:
         short = [u for u in new if len(u) <= SHORT]
-        for s in range(0, len(short), 50_000):
-            part = short[s : s + 50_000]
+        for s in range(0, len(short), STEP_UNITS):
+            part = short[s : s + STEP_UNITS]
             score, lead, ids, ends = self.firsts(part)
             self.place.update(zip(part, range(len(self.top), len(self.top) + len(part))))
             base = len(self.flat)
@@ -400,32 +403,35 @@ def _encode(path: str, best: int, keep: str):
 
     def run(batches):
         model = Pieces.of(path, best)
-        for b in batches:
-            texts = [t or b"" for t in text_bytes(b.column("text"))]
-            names = [c for c in b.schema.names if c != "text"]
-            for s, e in by_bytes(texts, BATCH_BYTES):
-                scores, paths, kept = [], [], []
-                whole = [t.decode("utf-8", "replace") for t in texts[s:e]]
-                for text, parts in zip(whole, model.prepared(whole)):
-                    sums, digests, held, before, good = [], [], [], None, False
-                    for score, ids, data in model.paths(text, parts):
-                        if data is not before:
-                            before, good = data, model.plain_text(data) == text
-                        sums.append(score)
-                        digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4", copy=False)), "round_trip": good})
-                        if keep == "all" or (keep == "first" and not held):
-                            held.append(ids)
-                    scores.append(sums)
-                    paths.append(digests)
-                    if keep != "none":
-                        kept.append(held if keep == "all" else held[0])
-                more = [pa.array(kept, kinds[keep])] if keep != "none" else []
-                own = [b.column(c).slice(s, e - s) for c in names]
-                first = [pa.array([p[0][c] for p in paths], of_path.field(c).type) for c in ("n_pieces", "ids_crc32", "round_trip")]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, *first[:2], pa.array(scores, pa.list_(pa.float64())), *more, first[2], pa.array(paths, pa.list_(of_path))],
-                    [*names, "n_pieces", "ids_crc32", "scores", *["ids"] * len(more), "round_trip", "paths"],
-                )
+        try:
+            for b in batches:
+                texts = [t or b"" for t in text_bytes(b.column("text"))]
+                names = [c for c in b.schema.names if c != "text"]
+                for s, e in by_bytes(texts, BATCH_BYTES):
+                    scores, paths, kept = [], [], []
+                    whole = [t.decode("utf-8", "replace") for t in texts[s:e]]
+                    for text, parts in zip(whole, model.prepared(whole)):
+                        sums, digests, held, before, good = [], [], [], None, False
+                        for score, ids, data in model.paths(text, parts):
+                            if data is not before:
+                                before, good = data, model.plain_text(data) == text
+                            sums.append(score)
+                            digests.append({"n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4", copy=False)), "round_trip": good})
+                            if keep == "all" or (keep == "first" and not held):
+                                held.append(ids)
+                        scores.append(sums)
+                        paths.append(digests)
+                        if keep != "none":
+                            kept.append(held if keep == "all" else held[0])
+                    more = [pa.array(kept, kinds[keep])] if keep != "none" else []
+                    own = [b.column(c).slice(s, e - s) for c in names]
+                    first = [pa.array([p[0][c] for p in paths], of_path.field(c).type) for c in ("n_pieces", "ids_crc32", "round_trip")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, *first[:2], pa.array(scores, pa.list_(pa.float64())), *more, first[2], pa.array(paths, pa.list_(of_path))],
+                        [*names, "n_pieces", "ids_crc32", "scores", *["ids"] * len(more), "round_trip", "paths"],
+                    )
+        finally:
+            model._clear()
 
     return run
 
