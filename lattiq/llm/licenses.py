@@ -26,92 +26,46 @@ from .common import by_bytes, list_array, text_bytes, with_row_key, words_of
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = {
-    "apache-notice": (
-        "Licensed under the Apache License, Version 2.0 (the License); "
-        "you may not use this file except in compliance "
-        "with the License. You may obtain a copy of "
-        "the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
+    "apache-notice": """
+        Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy
+        of the License at http://www.apache.org/licenses/LICENSE-2.0""",
     "apache-short": "Licensed under the Apache License, Version 2.0.",
-    "apache-warranty": (
-        "Unless required by applicable law or agreed to in "
-        "writing, software distributed under the License is distributed on "
-        "an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
-        "ANY KIND, either express or implied. See the License "
-        "for the specific language governing permissions and limitations under "
-        "the License."
-    ),
-    "mit-grant": (
-        "Permission is hereby granted, free of charge, to any "
-        "person obtaining a copy of this software and associated "
-        "documentation files (the Software), to deal in the Software "
-        "without restriction, including without limitation the rights to use, "
-        "copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell "
-        "copies "
-        "of the Software, and to permit persons to whom "
-        "the Software is furnished to do so, subject to "
-        "the following conditions"
-    ),
+    "apache-warranty": """
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES
+        OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+        License.""",
+    "mit-grant": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to
+        deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+        sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions""",
     "mit-short": "Released under the MIT License.",
-    "mit-warranty": (
-        "The Software is provided as is, without warranty of "
-        "any kind, express or implied, including but not limited "
-        "to the warranties of merchantability, fitness for a particular "
-        "purpose and noninfringement."
-    ),
-    "gpl-notice": (
-        "This program is free software: you can redistribute it "
-        "and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software "
-        "Foundation, either version 3 of the License, or (at "
-        "your option) any later version."
-    ),
+    "mit-warranty": """
+        The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability,
+        fitness for a particular purpose and noninfringement.""",
+    "gpl-notice": """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     "gpl-short": "GNU General Public License, version 3",
-    "gpl-warranty": (
-        "This program is distributed in the hope that it "
-        "will be useful, but WITHOUT ANY WARRANTY; without even "
-        "the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for "
-        "more details."
-    ),
-    "bsd-redistribution": (
-        "Redistribution and use in source and binary forms, with "
-        "or without modification, are permitted provided that the following "
-        "conditions are met"
-    ),
-    "bsd-conditions": (
-        "Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright "
-        "notice, this list of conditions and the following disclaimer "
-        "in the documentation and/or other materials provided with the "
-        "distribution."
-    ),
-    "mpl-notice": (
-        "This Source Code Form is subject to the terms "
-        "of the Mozilla Public License, v. 2.0. If a "
-        "copy of the MPL was not distributed with this "
-        "file, You can obtain one at"
-    ),
-    "isc-grant": (
-        "Permission to use, copy, modify, and/or distribute this software "
-        "for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this "
-        "permission notice appear in all copies."
-    ),
-    "unlicense-dedication": (
-        "This is free and unencumbered software released into the "
-        "public domain. Anyone is free to copy, modify, publish, "
-        "use, compile, sell, or distribute this software"
-    ),
+    "gpl-warranty": """
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-conditions": """
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary
+        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution.""",
+    "mpl-notice": """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at""",
+    "isc-grant": """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.""",
+    "unlicense-dedication": """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+        this software""",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "rights-reserved": (
-        "All rights reserved. No part of this publication may "
-        "be reproduced, distributed, or transmitted in any form or "
-        "by any means"
-    ),
+    "rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
 }
 GRAM = 3
 #: Share of a template's words that matched k-grams must cover.
