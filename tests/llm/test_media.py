@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from lattiq.llm import media as M
-from lattiq.llm.common import filesystem, shared_dir
+from lattiq.llm.common import filesystem, shared_dir, table
 
 
 def slow_cuts(p, least, greatest, bits):
@@ -81,3 +82,30 @@ def test_damage_is_noticed(spark):
 
 def test_empty(spark):
     assert M.media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def stored(text):
+    """The stored form and the feature of one payload, put together by plain loops."""
+    t = (text or "").encode()
+    p = t + b"\xff" * (-len(t) % 576 if t else 576)
+    ends = slow_cuts(p, M.LEAST, M.GREATEST, M.CUT_BITS)
+    parts = [p[a:b] for a, b in zip([0, *ends], ends)]
+    frames = [zstandard.ZstdCompressor(level=3).compress(x) for x in parts]
+    head = b"CHNK" + len(parts).to_bytes(4, "little")
+    data = head + b"".join(hashlib.sha256(x).digest() + len(x).to_bytes(4, "little") + len(f).to_bytes(4, "little") for x, f in zip(parts, frames)) + b"".join(frames)
+    n = len(p)
+    crossed = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:]))
+    octants = ",".join(str(sum(k * 32 <= x < k * 32 + 32 for x in p)) for k in range(8))
+    return len(data), hashlib.sha256(data).hexdigest(), f"n={n};mean={sum(p) * 1000 // n};square={sum(x * x for x in p) * 1000 // n};cross={crossed * 1_000_000 // n};octants={octants}"
+
+
+def test_stored_form_against_plain_loops(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").where("n_chars < 30000").limit(60).collect()] + [(-1, None), (-2, "é"), (-3, "ab" * 40_000)]
+    got = {r.doc_id: (r.media_bytes, r.media_sha256, r.feature) for r in M.media(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: stored(t) for i, t in docs}
+
+
+def test_ids_of_other_types(spark):
+    with pytest.raises(TypeError):
+        M.media(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    assert M.media(spark.createDataFrame([(1, "b")], "doc_id int, text string")).first().n_bytes == 1
