@@ -78,8 +78,13 @@ def _bracket(attributes: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", *[F.concat(F.lit(f'{k}="'), v, F.lit('"')) for k, v in attributes]), F.lit("];"))
 
 
-def to_dot(graph: CodeGraph, name: str, exclude_isolated: bool = False, node_attrs: Callable = node_attributes, edge_attrs: Callable = edge_attributes) -> DataFrame:
-    """(section, ord, line) of a DOT file; the file is the lines in that order.
+def to_dot(graph: CodeGraph, name: str, **more) -> DataFrame:
+    """(section, ord, line) of a DOT file; the file is the lines in that order.  For the rest see dot_lines."""
+    return dot_lines(graph, name, **more).orderBy("section", "ord")
+
+
+def dot_lines(graph: CodeGraph, name: str, exclude_isolated: bool = False, node_attrs: Callable = node_attributes, edge_attrs: Callable = edge_attributes) -> DataFrame:
+    """The lines of to_dot in no order, made in one pass.
 
     node_attrs and edge_attrs take the table and give (attribute, column) pairs, so callers may format as they like.
     """
@@ -90,7 +95,7 @@ def to_dot(graph: CodeGraph, name: str, exclude_isolated: bool = False, node_att
     rows = spark.createDataFrame(fixed, "section int, ord bigint, line string")
     drawn = nodes.select(F.lit(1).alias("section"), F.col("id").alias("ord"), F.concat(F.lit("    n"), "id", F.lit(" "), _bracket(node_attrs(nodes))).alias("line"))
     lines = graph.edges.select(F.lit(3).alias("section"), F.col("edge_id").alias("ord"), F.concat(F.lit("    n"), "source_node_id", F.lit(" -> n"), "target_node_id", F.lit(" "), _bracket(edge_attrs(graph.edges))).alias("line"))
-    return rows.unionByName(drawn).unionByName(lines).orderBy("section", "ord")
+    return rows.unionByName(drawn).unionByName(lines)
 
 
 def to_json_rows(graph: CodeGraph, exclude_isolated: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
