@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import durable
+from ..runtime import durable, spread
 from ..schema import BRANCHES, FUNCTION_LIKE, edge_type_ord
 
 #: Edges that may be sent to every executor, at 16 or 24 bytes each; beyond it closures are rounds of joins.
 BROADCAST_EDGES = 1 << 19
+#: The same where only totals are asked for: 64 MB.
+TOTAL_EDGES = 1 << 22
+#: Rows that a task of a large join takes; fixed, so that a task's memory doesn't grow with the input.
+TASK_ROWS = 1 << 18
 
 
 def scoped_by_project(df: DataFrame) -> DataFrame:
@@ -49,10 +53,10 @@ class _Steps:
         k = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
         return np.where(self.ids[k] == nodes, k, -1)
 
-    def reach(self, seed: int, stamp: np.ndarray, mark: int) -> np.ndarray:
-        """All that is reachable from a node, itself included; stamp holds the marks of the walks before."""
+    def reach(self, seed: int | list[int], stamp: np.ndarray, mark: int) -> np.ndarray:
+        """All that is reachable from a node (or distinct nodes), itself included; stamp holds the marks of the walks before."""
         stamp[seed] = mark
-        parts = [now := np.array([seed])]
+        parts = [now := np.atleast_1d(np.array(seed, np.int64))]
         while len(now):
             lo, n = self.start[now], self.start[now + 1] - self.start[now]
             ends = np.cumsum(n)
@@ -62,6 +66,38 @@ class _Steps:
             parts.append(now)
         return np.concatenate(parts)
 
+    def components(self) -> np.ndarray:
+        """The number of each node's strongly connected component."""
+        start, dst, n = self.start.tolist(), self.dst.tolist(), len(self.ids)
+        out, index, low, held, count, found = [-1] * n, [-1] * n, [0] * n, [], 0, 0
+        for root in range(n):
+            if index[root] >= 0:
+                continue
+            todo = [(root, start[root])]
+            while todo:
+                x, at = todo.pop()
+                if index[x] < 0:
+                    index[x] = low[x] = count
+                    count += 1
+                    held.append(x)
+                while at < start[x + 1]:
+                    y = dst[at]
+                    if index[y] < 0:
+                        todo += [(x, at), (y, start[y])]  # x looks at y again when y is done
+                        break
+                    if out[y] < 0:
+                        low[x] = min(low[x], low[y])
+                    at += 1
+                else:
+                    if low[x] == index[x]:
+                        while True:
+                            y = held.pop()
+                            out[y] = found
+                            if y == x:
+                                break
+                        found += 1
+        return np.array(out, np.int64)
+
     def preorder(self, seed: int) -> Iterator[tuple[int, list[int]]]:
         """(node, ordinals of the edges to it) in the order of a depth-first walk."""
         seen, path = {seed}, []
@@ -145,6 +181,41 @@ def closure(edges: DataFrame, seeds: DataFrame, limit: int = BROADCAST_EDGES) ->
         reach = reach.unionByName(frontier)
 
 
+def closure_totals(edges: DataFrame, seeds: DataFrame, limit: int = TOTAL_EDGES) -> DataFrame:
+    """entry, n_reached, node_sum: how many nodes closure() gives an entry, and the sum of their ids.
+
+    Of a graph of at most ``limit`` edges no pair is made: nodes of one strongly connected component reach the same,
+    so a task walks once for each component that its entries begin in.  Totals of a larger graph are counted over the pairs.
+    """
+    steps = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src is not null and dst is not null").distinct()
+    start = seeds.select(F.col("entry").cast("bigint").alias("entry"), F.col("node").cast("bigint").alias("node")).distinct()
+    small = _bounded(steps, limit)
+    if small is None:
+        return closure(edges, seeds).groupBy("entry").agg(F.count("*").alias("n_reached"), F.sum("node").alias("node_sum"))
+    held = _Steps(small.column("src").to_numpy(), small.column("dst").to_numpy())
+    component = held.components()
+
+    def run(batches):
+        stamp, mark, known = np.zeros(len(held.ids), np.int64), 0, {}
+        for b in batches:
+            rows = []
+            for entry, nodes in zip(b.column("entry").to_pylist(), b.column("nodes").to_pylist()):
+                numbers = held.number(np.array(nodes, np.int64)).tolist()
+                lone = [x for x, k in zip(nodes, numbers) if k < 0]
+                inside = [k for k in numbers if k >= 0]
+                key = tuple(sorted({int(component[k]) for k in inside}))
+                if key not in known:
+                    mark += 1
+                    found = held.ids[held.reach(inside, stamp, mark)] if inside else held.ids[:0]
+                    known[key] = len(found), int(found.sum())
+                n, total = known[key]
+                rows.append((entry, n + len(lone), total + sum(lone)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["entry", "n_reached", "node_sum"])
+
+    starts = start.groupBy("entry").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    return spread(starts, "entry").mapInArrow(run, "entry bigint, n_reached bigint, node_sum bigint")
+
+
 def call_steps(edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
     """(src, dst) that reachability follows: calls, and branches if asked."""
     kinds = ["Call", *(BRANCHES if follow_control_flow else [])]
@@ -194,15 +265,26 @@ def ordered_closure(edges: DataFrame, seeds: DataFrame, limit: int = BROADCAST_E
         labels = labels.unionByName(changed)
 
 
-def storage_access(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
+def _tasks(edges: DataFrame) -> int:
+    """How many tasks joins with the edges of a graph are cut into; 0 for a few, which Spark may choose."""
+    n = edges.count() // TASK_ROWS + 1
+    return n if n > 8 else 0
+
+
+def _cut(df: DataFrame, n: int, key: str) -> DataFrame:
+    return df.repartition(n, key) if n else df
+
+
+def storage_access(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False, tasks: int | None = None) -> DataFrame:
     """(entry, var, edge_type) of the storage variables that an entry point's reachable functions touch, distinct."""
     pairs = reachability(nodes, edges, follow_control_flow)
     owners = FUNCTION_LIKE + (["ThenBlock", "ElseBlock", "WhileBlock", "ForBlock", "IfStatement", "WhileStatement", "ForCondition"] if follow_control_flow else [])
     sources = nodes.where(F.col("node_type").isin(owners)).select(F.col("id").alias("node"))
     variables = nodes.where("node_type = 'StorageVariable'").select(F.col("id").alias("var"))
     touch = edges.where("edge_type in ('StorageRead', 'StorageWrite')").select(F.col("source_node_id").alias("node"), F.col("target_node_id").alias("var"), "edge_type")
-    touch = touch.join(variables, "var", "left_semi").join(sources, "node", "left_semi").distinct()
-    return pairs.join(touch, "node").select("entry", "var", "edge_type").distinct()
+    n = _tasks(edges) if tasks is None else tasks
+    touch = _cut(_cut(touch, n, "var").join(variables, "var", "left_semi"), n, "node").join(_cut(sources, n, "node"), "node", "left_semi").distinct()
+    return _cut(_cut(pairs, n, "node").join(touch, "node").select("entry", "var", "edge_type"), n, "entry").distinct()
 
 
 def storage_summary(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
@@ -221,9 +303,10 @@ def qualified(contract: Column, name: Column) -> Column:
 
 def storage_report(nodes: DataFrame, edges: DataFrame, follow_control_flow: bool = False) -> DataFrame:
     """entry, endpoint, reads, writes as text, in no order; variables sorted and joined by commas, empty where none."""
-    access = storage_access(nodes, edges, follow_control_flow)
+    n = _tasks(edges)
+    access = storage_access(nodes, edges, follow_control_flow, n)
     label = nodes.select(F.col("id"), qualified(F.col("contract_name"), F.col("name")).alias("label"))
-    named = access.join(label.select(F.col("id").alias("var"), F.col("label").alias("variable")), "var")
+    named = _cut(_cut(access, n, "var").join(label.select(F.col("id").alias("var"), F.col("label").alias("variable")), "var"), n, "entry")
     text = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("edge_type") == t, F.col("variable")))), ", ").alias(n) for t, n in (("StorageRead", "reads"), ("StorageWrite", "writes"))]
     entries = entry_points(nodes).select(F.col("id").alias("entry"), qualified(F.col("contract_name"), F.col("name")).alias("endpoint"))
     out = entries.join(named.groupBy("entry").agg(*text), "entry", "left")

@@ -69,7 +69,9 @@ def test_closures_against_depth_first_search(spark, pairs):
     edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "src bigint, dst bigint, ord bigint")
     seeds = spark.createDataFrame([(0, 0), (3, 3)], "entry bigint, node bigint")
     want = sorted((s, x) for s in (0, 3) for x in dfs(adjacency, s))
+    totals = sorted((s, len(own), sum(own)) for s in (0, 3) for own in [dfs(adjacency, s)])
     for limit in (100, 0):  # walked at once, and in rounds
+        assert sorted(tuple(r) for r in G.closure_totals(edges, seeds, limit).collect()) == totals
         assert sorted(tuple(r) for r in G.closure(edges, seeds, limit).collect()) == want
         rows = G.ordered_closure(edges, seeds, limit).orderBy("entry", "path").collect()
         assert [(r.entry, r.node) for r in rows] == [(s, x) for s in (0, 3) for x in dfs(adjacency, s)]
@@ -115,3 +117,30 @@ def test_traces_have_a_total_order(spark):
     for order in (rows, rows[::-1]):
         got = G.ordered_trace(nodes, spark.createDataFrame(order, kind).repartition(3), seeds).orderBy("ord").collect()
         assert [(r.edge_type, r.var) for r in got] == [(t, v) for t in ("StorageRead", "StorageWrite") for v in (7, 8, 9)]
+
+
+def test_totals_make_no_pairs(spark, monkeypatch):
+    """A ring of n nodes, each an entry: n walks would make n * n pairs; one walk a task is enough."""
+    n = 3000
+    edges = spark.range(n).selectExpr("id as src", "(id + 1) % 3000 as dst")
+    seeds = spark.range(n + 1).selectExpr("id as entry", "id as node")
+    monkeypatch.setattr(G, "closure", None)
+    got = {tuple(r)[1:] for r in G.closure_totals(edges, seeds).where(f"entry < {n}").collect()}
+    assert got == {(n, n * (n - 1) // 2)} and tuple(G.closure_totals(edges, seeds).where(f"entry = {n}").first()) == (n, 1, n)
+
+
+def test_joins_of_a_large_graph_are_cut_by_rows(small, monkeypatch):
+    """A task's rows are bounded, whatever the settings; the result is the same."""
+    want = [sorted(map(repr, f(small.nodes, small.edges).collect())) for f in (G.storage_summary, G.storage_report)]
+    monkeypatch.setattr(G, "TASK_ROWS", 1)
+    assert want == [sorted(map(repr, f(small.nodes, small.edges).collect())) for f in (G.storage_summary, G.storage_report)]
+    assert G._tasks(small.edges) == len(E) + 1 and G.storage_access(small.nodes, small.edges).rdd.getNumPartitions() == len(E) + 1
+
+
+def test_dot_lines_are_not_sorted_unless_asked(small):
+    from lattiq.plans.render import dot_lines, to_dot
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    nodes = small.nodes.withColumn("span", F.struct(F.col("id").alias("start"), F.col("id").alias("end")))
+    g = CodeGraph(nodes, small.edges)
+    assert "Sort" not in plan(dot_lines(g, "G")) and "Sort" in plan(to_dot(g, "G")) and sorted(dot_lines(g, "G").collect()) == sorted(to_dot(g, "G").collect())
